@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import pieces
+from emberline.llm import lines, pieces
 from emberline.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_line_digests(documents(spark, sf_dir))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(documents(spark, sf_dir), piece_model_path())
 
