@@ -7,7 +7,7 @@ register values bring candidates together; the joint likelihood of two sketches
 similarity; what may reach the threshold is verified on the full sets.
 
 Identical sets are one class from the start. In each bucket of a band all classes are compared with
-the bucket's smallest one (a star, no pairs within the bucket); then, where the buckets still
+the bucket's smallest and largest one (two stars, no pairs within the bucket); then, where the buckets still
 hold several components, the members outside the largest are compared with the others. A bucket of
 linked copies thus costs as many comparisons as it has members.
 """
@@ -137,6 +137,11 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= int(mean + 7 * max(1.0, mean) ** 0.5))
 
 
+def _not_met(a: str, b: str) -> Column:
+    """The member a is not one of the two that the bucket's members were compared with."""
+    return (F.col(f"{a}.key") != F.col(f"{b}.hub")) & (F.col(f"{a}.key") != F.col(f"{b}.other"))
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough: by estimate, then on the full sets."""
     regs = sketches.select("key", "n", "regs")
@@ -218,10 +223,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     leads = every.join(classes.select(F.col("class").alias("key"), "n", "f1", "f2"), ["key", "n", "f1", "f2"]).dropDuplicates(["key"])
     leads = cut(leads)
     rows = leads.select(F.explode("bands").alias("band"), "key", "n", "p0", "p1", "p2")
-    shared = cut(rows.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("hub")).where("size > 1").select("band", "hub"))
+    shared = cut(rows.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("hub"), F.max("key").alias("other")).where("size > 1").select("band", "hub", "other"))
     members = cut(rows.join(shared, "band"))
     bits = leads.select("key", "n", "p0", "p1", "p2")
-    first = members.where("key > hub").select("hub", "key").distinct()
+    first = members.select("key", F.explode(F.array("hub", "other")).alias("hub")).where("key != hub").select(F.least("hub", "key").alias("hub"), F.greatest("hub", "key").alias("key")).distinct()
     first = first.alias("m").join(bits.alias("y"), F.col("m.key") == F.col("y.key")).join(bits.alias("x"), F.col("m.hub") == F.col("x.key")).where(_possible("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
     links = cut(_verified(first, leads, known, percent, size))
     labels = components(links)
@@ -231,7 +236,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     per = placed.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("several")).where("several > 1").select("band", "main")
     open_ = cut(placed.join(cut(per), "band"))
     x, y = open_.where("label != main").alias("x"), open_.alias("y")
-    apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))) & (F.col("x.key") != F.col("y.hub")) & (F.col("y.key") != F.col("x.hub"))
+    apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))) & _not_met("x", "y") & _not_met("y", "x")
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & apart & _possible("x", "y", percent)).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
     more = _verified(rest, leads, known, percent, size)
     labels = components(cut(links.union(more)))
