@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from emberline.llm.common import _LOWER, crc32_mod, flat_utf8, mix, span_hashes, steps, words
 
 #: Bound of the sample of labelled rows that the model is fitted on.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 5000
 LANDMARKS = 256
 LAMBDA, SPAN = 0.6, 7
 #: Letters of the shortest string that can be an insult; shorter ones have too few subsequences.
@@ -39,7 +39,7 @@ _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = 27 + np.arange(128) % 4
 for _a, _b in zip(b"013457@", b"oieasta"):
     _SYMBOL[_a] = _SYMBOL[_b]
-_START = 31
+_START = 31  # mark of a start
 
 
 def strings(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,11 +104,12 @@ class Model:
     def strings(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The margin of each string."""
         total, norm = np.zeros(len(starts)), np.zeros(len(starts))
+        enough = np.zeros(len(starts), bool)
         for string, sub, weight in _subsequences(buf, starts, ends):
+            if weight == LAMBDA ** (SHORTEST - 2):  # there are subsequences over as many letters, the mark included
+                enough[string] = True
             total += np.bincount(string, self.table[sub], len(starts)) * weight
             norm += np.bincount(string, minlength=len(starts)) * weight**2
-        letters = np.r_[0, np.cumsum(_SYMBOL[buf] > 0)]
-        enough = letters[ends] - letters[starts] >= SHORTEST
         return np.where(enough & (norm > 0), np.maximum(total / np.sqrt(np.maximum(norm, 1e-9)) + self.bias, _FLOOR), _FLOOR)
 
     def texts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -124,6 +125,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
 
 
+def _grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(string, code) of the character 4-grams of strings, by their place; the first one begins with the mark of the start."""
+    size = ends - starts
+    for off in range(-1, int(min(30, size.max(initial=0)))):
+        k = np.flatnonzero(size >= off + 4)
+        at = starts[k] + off
+        code = np.full(len(k), _START, np.int64) if off < 0 else _SYMBOL[buf[at]].astype(np.int64)
+        for j in range(1, 4):
+            code = (code << 5) + _SYMBOL[buf[at + j]]
+        yield k, code
+
+
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e-7) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, by Newton steps on the strings within the margin."""
     x = np.c_[x, np.ones(len(x))]
@@ -156,36 +169,33 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     learn, apart = order[: len(order) * 3 // 4], order[len(order) * 3 // 4 :]
     column = pa.array([texts[i] for i in learn], pa.string())
     buf, offsets = flat_utf8(column)
-    starts, ends, text = strings(buf, offsets)
+    found = []
+    for i, j in steps(offsets, 300_000):  # hashes of a part of the texts at a time, for the driver's memory
+        part = buf[offsets[i] : offsets[j]]
+        a, b, of = strings(part, offsets[i : j + 1] - offsets[i])
+        found.append((a + offsets[i], b + offsets[i], of + i, span_hashes(part, a, b)))
+    starts, ends, text, hashes = (np.concatenate(x) for x in zip(*found))
+    del found
     bad = y[learn] == 1
-    _, at, each = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    _, at, each = np.unique(hashes, return_index=True, return_inverse=True)
     starts, ends = starts[at], ends[at]
     seen = np.unique((each << 20) + text)  # in which text each distinct string is
     seen = np.stack([seen >> 20, seen & ((1 << 20) - 1)], 1)
-    # sentences of toxic texts are labelled by what tells the two kinds of texts apart: character 4-grams of its strings
-    grams, owners = [], []
-    raw = _SYMBOL[buf].astype(np.int64)
-    for lead in (True, False):
-        for off in range(1 if lead else int(min(40, (ends - starts).max(initial=0)))):
-            ok = np.flatnonzero(ends - starts >= off + (3 if lead else 4))
-            s = starts[ok] + off
-            code = (_START << 15) + (raw[s] << 10) + (raw[s + 1] << 5) + raw[s + 2] if lead else (raw[s] << 15) + (raw[s + 1] << 10) + (raw[s + 2] << 5) + raw[s + 3]
-            grams.append(code)
-            owners.append(ok)
-    gram, owner = np.concatenate(grams), np.concatenate(owners)
-    by_gram = np.argsort(owner, kind="stable")
-    gram, owner = gram[by_gram], owner[by_gram]
-    first = np.searchsorted(owner, np.arange(len(starts) + 1))
-    count = np.diff(first)[seen[:, 0]]
-    inner = np.repeat(first[seen[:, 0]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    there = np.unique((gram[inner] << 20) + np.repeat(seen[:, 1], count))
-    both = np.bincount(there >> 20, minlength=1 << 20)
-    hits = np.bincount((there >> 20)[bad[there & ((1 << 20) - 1)]], minlength=1 << 20)
+    # sentences of toxic texts are labelled by what tells the two kinds of texts apart: character 4-grams of their strings
+    both, hits = np.zeros(1 << 20, np.int64), np.zeros(1 << 20, np.int64)
+    of_text = np.argsort(seen[:, 1], kind="stable")
+    for i in range(0, len(learn), 100):  # a few texts at a time, for the driver's memory
+        part = of_text[np.searchsorted(seen[of_text, 1], i) : np.searchsorted(seen[of_text, 1], i + 100)]
+        for_string, for_text = seen[part, 0], seen[part, 1]
+        there = np.unique(np.concatenate([(code << 20) + for_text[k] for k, code in _grams(buf, starts[for_string], ends[for_string])]))
+        both += np.bincount(there >> 20, minlength=1 << 20)
+        hits += np.bincount((there >> 20)[bad[there & ((1 << 20) - 1)]], minlength=1 << 20)
     rate = bad.mean()
     z = (hits - both * rate) / np.sqrt(np.maximum(both * rate * (1 - rate), 1e-9))
     telling = (hits >= 4) & (hits >= 0.85 * both) & (z > 5)
     marked = np.zeros(len(starts), bool)
-    np.logical_or.at(marked, owner, telling[gram])
+    for k, code in _grams(buf, starts, ends):
+        marked[k[telling[code]]] = True
     clean_in = np.bincount(seen[:, 0], ~bad[seen[:, 1]], len(starts))
     bad_in = np.bincount(seen[:, 0], bad[seen[:, 1]], len(starts))
     positive = np.flatnonzero(marked & (clean_in <= 0.1 * bad_in))
@@ -212,7 +222,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
         model = Model(f.T.astype(np.float64) @ (root @ w), float(bias), 1.0, 0.0)
         if mined < MINING:
             clean = np.flatnonzero((clean_in > 0) & ~marked)
-            wrong = clean[np.argsort(-model.strings(buf, starts[clean], ends[clean]), kind="stable")][: NEGATIVES // 8]
+            margin = np.concatenate([model.strings(buf, starts[part], ends[part]) for part in np.array_split(clean, len(clean) // 20_000 + 1)])
+            wrong = clean[np.argsort(-margin, kind="stable")][: NEGATIVES // 8]
             marks = np.r_[marks, np.setdiff1d(wrong[: LANDMARKS // (3 * MINING) + 1], marks)]
             negative = np.union1d(negative, wrong)
     margins = []
