@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import leaks, lines, lm, near, pieces, toxic
+from emberline.llm import chat, leaks, lines, lm, near, pieces, toxic
 from emberline.llm.common import documents
 
 
@@ -37,6 +37,11 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return chat.read_back(chat.windows(chat.with_probe(turns)))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(documents(spark, sf_dir), piece_model_path())
 
@@ -46,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": leaks.ORACLE}
+    return {"op1_decontamination": leaks.ORACLE, "op9_chat": chat.ORACLE}
