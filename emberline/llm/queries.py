@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import chat, leaks, lines, lm, near, pieces, quality, secrets, toxic
+from emberline.llm import chat, leaks, lines, lm, near, pieces, quality, revisits, secrets, toxic
 from emberline.llm.common import documents
 
 
@@ -45,6 +45,10 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.report(revisits.resolve(revisits.page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return chat.read_back(chat.windows(chat.with_probe(turns)))
@@ -59,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": leaks.ORACLE, "op9_chat": chat.ORACLE}
+    return {"op1_decontamination": leaks.ORACLE, "op8_revisits": revisits.ORACLE, "op9_chat": chat.ORACLE}
