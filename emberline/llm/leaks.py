@@ -101,6 +101,21 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("doc"), F.xxhash64(key, text).alias("row"), word_array(text).alias("words"))
 
 
+def _matches(df: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """The items' phrases, and where they occur."""
+    of_item = cut(phrases(items, item_key, item_text, window).select("phrase", "item"))
+    wanted = of_item.select(F.sha2(F.array_join("phrase", " "), 256).alias("id"), "phrase").distinct()
+    return of_item, cut(phrase_matches(_rows(df, key, text), wanted).distinct())
+
+
+def without_contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of df in whose text no benchmark window occurs."""
+    _, met = _matches(df, items, key, text, item_key, item_text, window)
+    rows = df.withColumn("__row", F.xxhash64(key, text))
+    hit = met.select("doc", "row").distinct()
+    return rows.join(hit, F.col(key).eqNullSafe(F.col("doc")) & (F.col("__row") == F.col("row")), "left_anti").drop("__row")
+
+
 def contamination(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated), one row per row of df.
 
@@ -108,9 +123,7 @@ def contamination(df: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     their ids, sorted as strings and joined by commas. A null or empty text has no words; a row without an id is judged like any other.
     Rows that are equal are one document with one result each. An empty benchmark hits nothing.
     """
-    of_item = cut(phrases(items, item_key, item_text, window).select("phrase", "item"))
-    wanted = of_item.select(F.sha2(F.array_join("phrase", " "), 256).alias("id"), "phrase").distinct()
-    met = cut(phrase_matches(_rows(df, key, text), wanted).distinct())
+    of_item, met = _matches(df, items, key, text, item_key, item_text, window)
     spans = met.groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("stop")))).alias("spans"))
     covered = F.aggregate(
         "spans",

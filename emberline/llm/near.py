@@ -204,16 +204,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id, kept), one row per document.
-
-    Documents are linked when 100 * intersection >= percent * union of their sets of shingles of ``size`` words
-    (ASCII white space between words, A-Z lower-cased); component_id is the smallest id reachable over links, and the
-    document of that id is kept. With fewer words than size the whole sequence is one shingle; texts without words, and null
-    ones, have empty sets and no links. Of rows with one id the one with the larger set (then fingerprint) stands for the id,
-    and rows without an id are left out of the search: each is a component of its own, with a null component_id, and kept.
-    A pair at the threshold shares a band with a probability of 1 - 1.2e-7.
-    """
+def _components_of(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """(__key, n, component) of every id."""
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     known = docs.where("key is not null")
     every = cut(sketch(known, size))
@@ -241,6 +233,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     more = _verified(rest, leads, known, percent, size)
     labels = components(cut(links.union(more)))
     named = cut(classes.join(labels.toDF("class", "label"), "class", "left").select("n", "f1", "f2", F.coalesce("label", "class").alias("component")))
-    found = one.join(named, ["n", "f1", "f2"], "left").select("key", "n", F.coalesce("component", "key").alias("component"))
-    out = df.select(key, F.col(key).cast("long").alias("__key"), text).join(found.withColumnRenamed("key", "__key"), "__key", "left")
+    return one.join(named, ["n", "f1", "f2"], "left").select(F.col("key").alias("__key"), "n", F.coalesce("component", "key").alias("component"))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """(key, n_shingles, component_id, kept), one row per document.
+
+    Documents are linked when 100 * intersection >= percent * union of their sets of shingles of ``size`` words
+    (ASCII white space between words, A-Z lower-cased); component_id is the smallest id reachable over links, and the
+    document of that id is kept. With fewer words than size the whole sequence is one shingle; texts without words, and null
+    ones, have empty sets and no links. Of rows with one id the one with the larger set (then fingerprint) stands for the id,
+    and rows without an id are left out of the search: each is a component of its own, with a null component_id, and kept.
+    A pair at the threshold shares a band with a probability of 1 - 1.2e-7.
+    """
+    out = df.select(key, F.col(key).cast("long").alias("__key")).join(_components_of(df, key, text, size, percent), "__key", "left")
     return out.select(key, F.coalesce("n", F.lit(0)).alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("__key"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df that near_duplicates() keeps."""
+    gone = _components_of(df, key, text, size, percent).where("component != __key").select("__key")
+    return df.withColumn("__key", F.col(key).cast("long")).join(gone, "__key", "left_anti").drop("__key")
