@@ -29,6 +29,9 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: Register bits whose number of differences bounds the similarity before any register is compared.
 PARITY_WORDS = 3
+#: Bits that count, modulo 2, the shingles that fall to each: two sets differ in at least as many shingles as in bits.
+ODD_WORDS = 16
+_BITS = [f"p{k}" for k in range(PARITY_WORDS)] + [f"q{k}" for k in range(ODD_WORDS)]
 #: An estimate has a standard deviation of 0.03 at a similarity of 0.8; pairs below the threshold less this are dropped.
 MARGIN = 0.2
 _FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -68,9 +71,9 @@ def _print(own: np.ndarray, k: int) -> int:
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """(key, n, f1, f2, regs, bands, p0, p1, p2) of each document. docs: key, text.
+    """(key, n, f1, f2, regs, bands, p0.., q0..) of each document. docs: key, text.
 
-    n: size of the set; f1, f2: a fingerprint of the set; p: the lowest bits of registers.
+    n: size of the set; f1, f2: a fingerprint of the set; p: the lowest bits of registers; q: odd counts of shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,16 +98,19 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                     band = mix(band * np.uint64(0xD1342543DE82EF95) + wide[:, k::ROWS] + np.uint64(1))
                 band = mix(band + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 bits = np.packbits((regs[:, : 64 * PARITY_WORDS] & 1).astype(np.uint8), axis=1).view(np.int64)
+                of_bit = np.repeat(np.arange(j - i), n) * (64 * ODD_WORDS) + (mix(flat + np.uint64(7)) >> np.uint64(32)).astype(np.int64) % (64 * ODD_WORDS)
+                odd = np.packbits((np.bincount(of_bit, minlength=(j - i) * 64 * ODD_WORDS) & 1).astype(np.uint8).reshape(j - i, -1), axis=1).view(np.int64)
+                bits = np.concatenate([bits, odd], 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), pa.array([x.tobytes() for x in regs], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(band.view(np.int64).ravel())),
-                        *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITY_WORDS)),
+                        *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(_BITS))),
                     ],
-                    names=["key", "n", "f1", "f2", "regs", "bands", "p0", "p1", "p2"],
+                    names=["key", "n", "f1", "f2", "regs", "bands", *_BITS],
                 )
 
-    return docs.mapInArrow(run, "key long, n long, f1 long, f2 long, regs binary, bands array<long>, p0 long, p1 long, p2 long")
+    return docs.mapInArrow(run, "key long, n long, f1 long, f2 long, regs binary, bands array<long>, " + ", ".join(f"{b} long" for b in _BITS))
 
 
 def _gain(x: np.ndarray) -> np.ndarray:
@@ -130,11 +136,15 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
-    """Sizes and register bits allow the similarity: bits of unequal registers differ half the time, so at 0.8 19 of 192 differ, with a deviation of 4.2."""
+    """Sizes and bits allow the similarity. Sizes and odd counts exclude it for sure.
+
+    Bits of unequal registers differ half the time, so at 0.8 19 of 192 differ, with a deviation of 4.2; 7 deviations are allowed.
+    """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.p{k}").bitwiseXOR(F.col(f"{b}.p{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
+    differ = [F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in _BITS]
     mean = 64 * PARITY_WORDS * (100 - percent) / 200
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= int(mean + 7 * max(1.0, mean) ** 0.5))
+    parity, odd = sum(differ[1:PARITY_WORDS], differ[0]), sum(differ[PARITY_WORDS + 1 :], differ[PARITY_WORDS])
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (parity <= int(mean + 7 * max(1.0, mean) ** 0.5)) & ((100 + percent) * odd <= (100 - percent) * (n + m))
 
 
 def _not_met(a: str, b: str) -> Column:
@@ -214,10 +224,10 @@ def _components_of(df: DataFrame, key: str, text: str, size: int, percent: int)
     classes = cut(one.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("key").alias("class")))
     leads = every.join(classes.select(F.col("class").alias("key"), "n", "f1", "f2"), ["key", "n", "f1", "f2"]).dropDuplicates(["key"])
     leads = cut(leads)
-    rows = leads.select(F.explode("bands").alias("band"), "key", "n", "p0", "p1", "p2")
+    rows = leads.select(F.explode("bands").alias("band"), "key")
     shared = cut(rows.groupBy("band").agg(F.count("*").alias("size"), F.min("key").alias("hub"), F.max("key").alias("other")).where("size > 1").select("band", "hub", "other"))
     members = cut(rows.join(shared, "band"))
-    bits = leads.select("key", "n", "p0", "p1", "p2")
+    bits = leads.select("key", "n", *_BITS)
     first = members.select("key", F.explode(F.array("hub", "other")).alias("hub")).where("key != hub").select(F.least("hub", "key").alias("hub"), F.greatest("hub", "key").alias("key")).distinct()
     first = first.alias("m").join(bits.alias("y"), F.col("m.key") == F.col("y.key")).join(bits.alias("x"), F.col("m.hub") == F.col("x.key")).where(_possible("x", "y", percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
     links = cut(_verified(first, leads, known, percent, size))
@@ -226,7 +236,7 @@ def _components_of(df: DataFrame, key: str, text: str, size: int, percent: int)
     placed = cut(placed)
     # the component with most members in a bucket; buckets with no other are done
     per = placed.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("several")).where("several > 1").select("band", "main")
-    open_ = cut(placed.join(cut(per), "band"))
+    open_ = cut(placed.join(cut(per), "band").join(bits, "key"))
     x, y = open_.where("label != main").alias("x"), open_.alias("y")
     apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))) & _not_met("x", "y") & _not_met("y", "x")
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & apart & _possible("x", "y", percent)).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
