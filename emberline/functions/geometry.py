@@ -78,7 +78,7 @@ def _sum(values: Column) -> Column:
 def vertex_mean(ring: Column) -> Column:
     """(lat, lng) of the mean of the vertices; (0, 0) of an empty ring."""
     n = F.greatest(F.size(ring), F.lit(1))
-    return F.struct(*[(_sum(F.transform(ring, lambda p, k=k: p[k])) / n).alias(k) for k in ("lat", "lng")])
+    return F.struct((_sum(F.transform(ring, lambda p: p["lat"])) / n).alias("lat"), (_sum(F.transform(ring, lambda p: p["lng"])) / n).alias("lng"))
 
 
 def area_ha(ring: Column) -> Column:

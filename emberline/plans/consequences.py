@@ -1 +1,242 @@
+"""Queries on what fires mean: perimeters, contours, evacuation, statistics, advice, exports."""
 
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from emberline.functions import advice as A
+from emberline.functions import geometry as G
+from emberline.operators import consequences as C
+from emberline.operators import spatial
+from emberline.plans import sql as S
+from emberline.plans.registry import query, r
+from emberline.sources import views as V
+
+# the twelve points of a frame's perimeter, as rows (sim, idx, k, plat, plng)
+_RING = f"""ring AS (SELECT sim, idx, t, k, lat + radius * cos(k * {2 * math.pi / 12!r}::DOUBLE) / 111320.0::DOUBLE AS plat, lng + radius * sin(k * {2 * math.pi / 12!r}::DOUBLE) / (111320.0::DOUBLE * cos(lat * {S.RAD})) AS plng FROM (SELECT *, unnest(range(0, 12)) AS k FROM v_frame))"""
+_EDGE = f"{_RING}, edge AS (SELECT a.sim, a.idx, a.k, a.plat, a.plng, b.plat AS qlat, b.plng AS qlng FROM ring a JOIN ring b ON a.sim = b.sim AND a.idx = b.idx AND b.k = (a.k + 1) % 12)"
+_AREA = f"{_EDGE}, area AS (SELECT sim, idx, abs(sum(plng * qlat - qlng * plat)) / 2.0::DOUBLE * 111320.0::DOUBLE * (111320.0::DOUBLE * cos(avg(plat) * {S.RAD})) / 10000.0::DOUBLE AS area_ha FROM edge GROUP BY sim, idx)"
+
+
+@query(S.query("v_frame", f"WITH {_AREA} SELECT sim, idx, round(area_ha, 4) + 0.0::DOUBLE AS area_ha FROM area"))
+def perimeter_area(spark, sf_dir):
+    return V.frames(spark, sf_dir).select("sim", "idx", (F.round(G.area_ha(F.col("perimeter")), 4) + 0.0).alias("area_ha"))
+
+
+@query(S.query("v_frame", f"WITH {_EDGE} SELECT sim, idx, round(sum({S.haversine('plat', 'plng', 'qlat', 'qlng')}), 5) AS km FROM edge GROUP BY sim, idx"))
+def perimeter_length(spark, sf_dir):
+    return V.frames(spark, sf_dir).select("sim", "idx", r(G.length_km(F.col("perimeter")), 5).alias("km"))
+
+
+@query(S.query("v_frame", f"WITH {_RING} SELECT sim, idx, round(avg(plat), 6) AS lat, round(avg(plng), 6) AS lng FROM ring GROUP BY sim, idx"))
+def perimeter_centroid(spark, sf_dir):
+    c = G.vertex_mean(F.col("perimeter"))
+    return V.frames(spark, sf_dir).select("sim", "idx", r(c["lat"]).alias("lat"), r(c["lng"]).alias("lng"))
+
+
+def _dec(c: str) -> str:
+    return f"CAST(CAST(round({c}, 6) AS DECIMAL(12,6)) AS VARCHAR)"
+
+
+@query(S.query("v_frame", f"""WITH {_RING}, closed AS (SELECT sim, idx, k, plat, plng FROM ring UNION ALL SELECT sim, idx, 12, plat, plng FROM ring WHERE k = 0)
+SELECT sim, idx, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' || string_agg('[' || {_dec('plng')} || ',' || {_dec('plat')} || ']', ',' ORDER BY k) || ']]}},"properties":{{"idx":' || idx || '}}}}' AS feature FROM closed GROUP BY sim, idx"""))
+def perimeter_geojson(spark, sf_dir):
+    return V.frames(spark, sf_dir).select("sim", "idx", G.geojson(F.col("perimeter"), F.concat(F.lit('{"idx":'), F.col("idx").cast("string"), F.lit("}"))).alias("feature"))
+
+
+_HOURS = "(SELECT unnest([1.0, 2.0, 4.0, 8.0])::DOUBLE AS target)"
+_CLOSEST = """c AS (SELECT f.sim, h.target, f.idx, f.t FROM v_frame f CROSS JOIN hours h WHERE h.target <= (SELECT max(t) FROM v_frame g WHERE g.sim = f.sim) + {slack} QUALIFY row_number() OVER (PARTITION BY f.sim, h.target ORDER BY abs(f.t - h.target), f.idx) = 1)"""
+
+
+@query(S.query("v_frame", f"WITH hours AS {_HOURS}, {_CLOSEST.format(slack=0.5)}, d AS (SELECT *, row_number() OVER (PARTITION BY sim, idx ORDER BY target) AS n FROM c) SELECT sim, target, 'T+' || CAST(target AS INTEGER) || 'h' AS label, idx, t FROM d WHERE n = 1"))
+def isochrones(spark, sf_dir):
+    return C.isochrones(spark, V.frames(spark, sf_dir)).select("sim", "target", "label", "idx", "t")
+
+
+@query(S.query("v_frame", f"WITH hours AS {_HOURS}, {_CLOSEST.format(slack=0.5)}, d AS (SELECT *, row_number() OVER (PARTITION BY sim, idx ORDER BY target) AS n FROM c) SELECT d.sim, 'T+' || CAST(target AS INTEGER) || 'h' AS label, round(lat + radius / 111320.0::DOUBLE, 6) AS lat, round(lng, 6) AS lng FROM d JOIN v_frame f ON d.sim = f.sim AND d.idx = f.idx WHERE n = 1"))
+def iso_labels(spark, sf_dir):
+    """Where each contour's label stands: at its northernmost point."""
+    x = C.isochrones(spark, V.frames(spark, sf_dir)).withColumn("p", C.northernmost(F.col("perimeter")))
+    return x.select("sim", "label", r(F.col("p.lat")).alias("lat"), r(F.col("p.lng")).alias("lng"))
+
+
+# communities stand about the fires, so that tiers differ
+_COMMUNITY = "community AS (SELECT asset AS community, 53.55::DOUBLE + CAST(asset * 37 % 1000 AS DOUBLE) / 50000.0::DOUBLE - 0.0103::DOUBLE AS clat, -113.5::DOUBLE + CAST(asset * 91 % 1000 AS DOUBLE) / 50000.0::DOUBLE - 0.0101::DOUBLE AS clng FROM v_asset)"
+
+
+def communities(spark, sf_dir):
+    k = F.col("asset")
+    return V.assets(spark, sf_dir).select(k.alias("community"), (53.55 + (k * 37 % 1000).cast("double") / 50000.0 - 0.0103).alias("lat"), (-113.5 + (k * 91 % 1000).cast("double") / 50000.0 - 0.0101).alias("lng"))
+
+
+_TIERS = "hours AS (SELECT * FROM (VALUES (2.0::DOUBLE, 'Order', 3), (6.0::DOUBLE, 'Alert', 2), (12.0::DOUBLE, 'Watch', 1)) AS h(target, tier, rank))"
+_INSIDE = f"""{_TIERS}, {_CLOSEST.format(slack=1.0)}, {_EDGE}, {_COMMUNITY},
+met AS (SELECT c.sim, c.target, m.community, count(*) FILTER ((plat > clat) <> (qlat > clat) AND clng < (qlng - plng) * (clat - plat) / nullif(qlat - plat, 0) + plng) AS crossings FROM c JOIN edge e ON c.sim = e.sim AND c.idx = e.idx CROSS JOIN community m GROUP BY ALL),
+tiers AS (SELECT sim, community, max(rank) AS rank FROM met JOIN hours USING (target) WHERE crossings % 2 = 1 GROUP BY sim, community)"""
+_NAME = "CASE rank WHEN 3 THEN 'Order' WHEN 2 THEN 'Alert' WHEN 1 THEN 'Watch' END"
+
+
+@query(S.query("v_frame v_asset", f"WITH {_INSIDE} SELECT sim, {_NAME} AS tier, count(*) AS n, min(community) AS first_community FROM tiers GROUP BY sim, rank"))
+def evac_zones(spark, sf_dir):
+    """Communities of each fire by their most urgent tier."""
+    _, found = C.evacuation(spark, V.frames(spark, sf_dir), communities(spark, sf_dir))
+    return found.groupBy("sim", "tier").agg(F.count("*").alias("n"), F.min("community").alias("first_community"))
+
+
+@query(S.query("v_frame", f"WITH {_TIERS}, {_CLOSEST.format(slack=1.0)}, {_AREA} SELECT c.sim, h.tier, round(area_ha, 4) AS area_ha FROM c JOIN hours h USING (target) JOIN area a ON a.sim = c.sim AND a.idx = c.idx"))
+def evac_areas(spark, sf_dir):
+    tiers, _ = C.evacuation(spark, V.frames(spark, sf_dir), communities(spark, sf_dir))
+    return tiers.select("sim", "tier", r("area_ha", 4))
+
+
+@query(S.query("v_frame v_asset", f"""WITH {_INSIDE}, hist AS (SELECT sim, community, 1 + (community + sim) % 3 AS rank FROM tiers WHERE community % 2 = 0),
+x AS (SELECT coalesce(t.sim, h.sim) AS sim, coalesce(t.community, h.community) AS community, coalesce(t.rank, 0) AS cur, coalesce(h.rank, 0) AS old FROM tiers t FULL OUTER JOIN (SELECT * FROM hist WHERE rank >= 2) h ON t.sim = h.sim AND t.community = h.community)
+SELECT sim, CASE greatest(cur, old) WHEN 3 THEN 'Order' WHEN 2 THEN 'Alert' ELSE 'Watch' END AS tier, CASE WHEN old > cur THEN 'history' ELSE 'current' END AS source, count(*) AS n FROM x GROUP BY ALL"""))
+def evac_history(spark, sf_dir):
+    """Tiers with what was ordered before."""
+    _, found = C.evacuation(spark, V.frames(spark, sf_dir), communities(spark, sf_dir))
+    rank = (1 + (F.col("community") + F.col("sim")) % 3).cast("int")
+    tier = F.element_at(F.array(F.lit("Watch"), F.lit("Alert"), F.lit("Order")), rank)
+    history = found.where("community % 2 = 0").select("sim", "community", tier.alias("tier"), rank.alias("rank"))
+    return C.with_history(found.select("sim", "community", "tier", "rank"), history).groupBy("sim", "tier", "source").agg(F.count("*").alias("n"))
+
+
+_CELL = "CAST(least(49, greatest(0, floor((53.8::DOUBLE - lat) / (53.8::DOUBLE - 53.3::DOUBLE) * 50))) AS INTEGER) AS row, CAST(least(39, greatest(0, floor((lng - (-113.8::DOUBLE)) / (-113.2::DOUBLE - (-113.8::DOUBLE)) * 40))) AS INTEGER) AS col"
+
+
+@query(S.query("v_asset v_prob", f"WITH a AS (SELECT asset, layer, {_CELL} FROM v_asset) SELECT layer, count(*) AS n, count(*) FILTER (coalesce(p, 0) >= 0.5) AS at_risk FROM a LEFT JOIN v_prob p ON a.row = p.row AND a.col = p.col GROUP BY layer"))
+def at_risk_assets(spark, sf_dir):
+    """Assets by layer, and those in cells that burn in half of the runs."""
+    row, col, _ = spatial.cell_of(F.col("lat"), F.col("lng"), (V.LAT_MIN, V.LAT_MAX, V.LNG_MIN, V.LNG_MAX), 50, 40)
+    a = V.assets(spark, sf_dir).select("asset", "layer", row.alias("row"), col.alias("col"))
+    x = a.join(V.probabilities(spark, sf_dir), ["row", "col"], "left")
+    return x.groupBy("layer").agg(F.count("*").alias("n"), F.count_if(F.coalesce("p", F.lit(0.0)) >= 0.5).alias("at_risk"))
+
+
+@query(S.query("v_prob", "SELECT round(count(*) FILTER (p >= 0.25) * 0.25::DOUBLE, 4) AS ha25, round(count(*) FILTER (p >= 0.5) * 0.25::DOUBLE, 4) AS ha50, round(count(*) FILTER (p >= 0.75) * 0.25::DOUBLE, 4) AS ha75, max(p) AS top_p FROM v_prob"))
+def burn_area_stats(spark, sf_dir):
+    p = V.probabilities(spark, sf_dir)
+    return p.agg(*[r(F.count_if(F.col("p") >= t / 100) * 0.25, 4).alias(f"ha{t}") for t in (25, 50, 75)], F.max("p").alias("top_p"))
+
+
+@query(S.query("v_frame v_asset", f"WITH {_EDGE}, {_COMMUNITY}, met AS (SELECT sim, idx, community, count(*) FILTER ((plat > clat) <> (qlat > clat) AND clng < (qlng - plng) * (clat - plat) / nullif(qlat - plat, 0) + plng) AS crossings FROM edge CROSS JOIN community WHERE idx % 10 = 0 GROUP BY ALL) SELECT sim, idx, count(*) AS n FROM met WHERE crossings % 2 = 1 GROUP BY sim, idx"))
+def buildings_at_risk(spark, sf_dir):
+    """Buildings inside every tenth frame's perimeter."""
+    f = V.frames(spark, sf_dir).where("idx % 10 = 0").select("sim", "idx", F.col("perimeter").alias("ring"))
+    return spatial.points_in_areas(communities(spark, sf_dir), f, 0.005).groupBy("sim", "idx").agg(F.count("*").alias("n"))
+
+
+_STATS = f"""{_AREA}, sp AS (SELECT sim, count(*) AS spot_count, max(distance) AS max_spot_m FROM v_spot GROUP BY sim),
+st AS (SELECT f.sim, max(ros) AS peak_ros, max(hfi) AS peak_hfi, arg_max(area_ha, f.idx) AS final_ha, arg_max(fire_type, f.idx) AS final_type, coalesce(any_value(spot_count), 0) AS spot_count, coalesce(any_value(max_spot_m), 0.0::DOUBLE) AS max_spot_m FROM v_frame f JOIN area a ON f.sim = a.sim AND f.idx = a.idx LEFT JOIN sp ON f.sim = sp.sim GROUP BY f.sim)"""
+
+
+@query(S.query("v_spot", f"WITH {_STATS} SELECT sim, round(peak_ros, 6) AS peak_ros, round(peak_hfi, 3) AS peak_hfi, round(final_ha, 4) AS final_ha, final_type, spot_count, max_spot_m FROM st"))
+def spread_stats(spark, sf_dir):
+    x = C.spread_stats(V.frames(spark, sf_dir), V.spots(spark, sf_dir))
+    return x.select("sim", r("peak_ros"), r("peak_hfi", 3), r("final_ha", 4), "final_type", "spot_count", "max_spot_m")
+
+
+@query(S.query("v_frame", "WITH m AS (SELECT sim FROM v_frame GROUP BY sim HAVING max(t) > 24), d AS (SELECT v_frame.*, CAST(greatest(1, ceil(t / 24.0::DOUBLE)) AS INTEGER) AS day FROM v_frame JOIN m USING (sim)) SELECT sim, day, round(max(ros), 6) AS peak_ros, round(max(hfi), 3) AS peak_hfi, arg_max(fire_type, idx) AS last_type, arg_max(radius, idx) AS last_radius FROM d GROUP BY sim, day"))
+def day_stats(spark, sf_dir):
+    """Peaks and last values by day, of fires that last more than one."""
+    f = V.frames(spark, sf_dir).withColumn("most", F.max("t").over(Window.partitionBy("sim"))).where("most > 24")
+    day = F.greatest(F.lit(1), F.ceil(F.col("t") / 24.0)).cast("int")
+    return f.groupBy("sim", day.alias("day")).agg(r(F.max("ros")).alias("peak_ros"), r(F.max("hfi"), 3).alias("peak_hfi"), F.max_by("fire_type", "idx").alias("last_type"), F.max_by("radius", "idx").alias("last_radius"))
+
+
+_CLASS = "CASE WHEN peak_hfi < 200 THEN '{0}' WHEN peak_hfi < 500 THEN '{1}' WHEN peak_hfi < 2000 THEN '{2}' WHEN peak_hfi < 4000 THEN '{3}' ELSE '{4}' END"
+_STANDOFF = "(CASE WHEN spot_count > 0 THEN greatest(500.0::DOUBLE, max_spot_m * 1.5::DOUBLE) ELSE 500.0::DOUBLE END + CASE WHEN final_type LIKE '%crown%' THEN 1000.0::DOUBLE ELSE 0.0::DOUBLE END)"
+
+
+@query(S.query("v_spot", f"WITH {_STATS} SELECT sim, {_CLASS.format(*[c[0] for c in A.CLASSES])} AS class, {_CLASS.format(*[c[2] for c in A.CLASSES])} AS strategy, peak_hfi < 2000 AS feasible, round({_STANDOFF}, 3) AS standoff_m FROM st"))
+def advisory(spark, sf_dir):
+    """Suppression class, strategy, and how far drones stay away."""
+    x = C.spread_stats(V.frames(spark, sf_dir), V.spots(spark, sf_dir))
+    h = F.col("peak_hfi")
+    return x.select("sim", A.intensity_class(h).alias("class"), A.strategy(h).alias("strategy"), A.feasible(h).alias("feasible"), r(A.standoff_m(F.col("final_type"), F.col("spot_count"), F.col("max_spot_m")), 3).alias("standoff_m"))
+
+
+@query(S.query("v_spot", f"""WITH {_STATS} SELECT sim, array_to_string(list_filter(['Contain fire within ' || CAST(floor(final_ha * 1.2::DOUBLE + 0.5::DOUBLE) AS BIGINT) || ' ha', 'Maintain standoff of ' || CAST(floor({_STANDOFF} + 0.5::DOUBLE) AS BIGINT) || ' m',
+  CASE WHEN spot_count > 0 THEN 'Watch for ' || spot_count || ' spot fires' END], lambda x: x IS NOT NULL), '; ') AS objectives FROM st"""))
+def objectives(spark, sf_dir):
+    x = C.spread_stats(V.frames(spark, sf_dir), V.spots(spark, sf_dir))
+    whole = lambda c: F.floor(c + 0.5).cast("bigint").cast("string")
+    say = [
+        F.concat(F.lit("Contain fire within "), whole(F.col("final_ha") * 1.2), F.lit(" ha")), F.concat(F.lit("Maintain standoff of "), whole(A.standoff_m(F.col("final_type"), F.col("spot_count"), F.col("max_spot_m"))), F.lit(" m")),
+        F.when(F.col("spot_count") > 0, F.concat(F.lit("Watch for "), F.col("spot_count").cast("string"), F.lit(" spot fires"))),
+    ]
+    return x.select("sim", F.array_join(F.filter(F.array(*say), lambda s: s.isNotNull()), "; ").alias("objectives"))
+
+
+@query(S.query("v_spot", "SELECT sim, idx, round(hfi, 3) AS hfi, distance FROM v_spot WHERE hfi >= 300 ORDER BY v_spot.hfi DESC, sim, idx LIMIT 15"))
+def top_ember_sources(spark, sf_dir):
+    """The 15 hottest sources of embers."""
+    return V.spots(spark, sf_dir).where("hfi >= 300").orderBy(F.desc("hfi"), "sim", "idx").limit(15).select("sim", "idx", r("hfi", 3), "distance")
+
+
+@query(S.query("v_spot", "SELECT round(lat, 5) AS lat, round(lng, 5) AS lng, count(*) AS n, arg_min(sim, (t, sim, idx)) AS first_sim FROM v_spot GROUP BY 1, 2"))
+def spot_dedupe(spark, sf_dir):
+    """Landings at one place, and the fire that came first."""
+    return V.spots(spark, sf_dir).groupBy(r("lat", 5), r("lng", 5)).agg(F.count("*").alias("n"), F.min_by("sim", F.struct("t", "sim", "idx")).alias("first_sim"))
+
+
+@query(S.query("v_frame", "WITH h AS (SELECT sim, idx, count(*) OVER (PARTITION BY sim) AS n FROM v_frame) SELECT sim, idx, round(CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE idx / (n - 1.0::DOUBLE) END, 6) AS recency FROM h"))
+def history_recency(spark, sf_dir):
+    """How recent each frame is, from 0 to 1."""
+    n = F.count("*").over(Window.partitionBy("sim")).cast("double")
+    return V.frames(spark, sf_dir).select("sim", "idx", n.alias("n")).select("sim", "idx", r(F.when(F.col("n") == 1, 1.0).otherwise(F.col("idx") / (F.col("n") - 1.0))).alias("recency"))
+
+
+@query(S.query("v_frame", "SELECT sim, CAST(greatest(1, ceil(t / 24.0::DOUBLE)) AS INTEGER) AS day, max(idx) AS idx, arg_max(t, idx) AS t, arg_max(radius, idx) AS radius FROM v_frame GROUP BY ALL"))
+def last_frame_per_day(spark, sf_dir):
+    day = F.greatest(F.lit(1), F.ceil(F.col("t") / 24.0)).cast("int")
+    return V.frames(spark, sf_dir).groupBy("sim", day.alias("day")).agg(F.max("idx").alias("idx"), F.max_by("t", "idx").alias("t"), F.max_by("radius", "idx").alias("radius"))
+
+
+@query(S.query("v_frame", "SELECT sim, idx, lag(radius) OVER (PARTITION BY sim ORDER BY idx) AS ghost_radius, max(CASE WHEN fire_type = 'active_crown' THEN 3 WHEN fire_type = 'passive_crown' THEN 2 WHEN fire_type = 'surface_with_torching' THEN 1 ELSE 0 END) OVER (PARTITION BY sim ORDER BY idx ROWS UNBOUNDED PRECEDING) AS worst FROM v_frame"))
+def ghost_and_worst(spark, sf_dir):
+    """The perimeter of the frame before, and the worst type so far."""
+    w = Window.partitionBy("sim").orderBy("idx")
+    return V.frames(spark, sf_dir).select("sim", "idx", F.lag("radius").over(w).alias("ghost_radius"), (F.max(A.type_rank(F.col("fire_type"))).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int").alias("worst"))
+
+
+@query(S.query("v_spot", "SELECT 'perimeter' AS layer, count(*) AS n FROM (SELECT sim FROM v_frame GROUP BY sim) UNION ALL SELECT 'ignition', count(DISTINCT sim) FROM v_frame UNION ALL SELECT 'spot', count(*) FROM (SELECT DISTINCT round(lat, 5), round(lng, 5) FROM v_spot)"))
+def export_union(spark, sf_dir):
+    """Features of an export by layer: last perimeters, ignitions, and landings, each place once."""
+    from emberline.sources import exports
+
+    return exports.features(V.frames(spark, sf_dir), V.spots(spark, sf_dir)).groupBy("layer").agg(F.count("*").alias("n"))
+
+
+@query(S.query("v_frame", "SELECT sim, '<Placemark><name>Fire ' || sim || ' &amp; frame ' || max(idx) || '</name><styleUrl>#' || arg_max(fire_type, idx) || '</styleUrl></Placemark>' AS placemark FROM v_frame GROUP BY sim"))
+def kml_placemarks(spark, sf_dir):
+    from emberline.sources import exports
+
+    last = V.frames(spark, sf_dir).groupBy("sim").agg(F.max("idx").alias("idx"), F.max_by("fire_type", "idx").alias("fire_type"))
+    return last.select("sim", exports.placemark(F.concat(F.lit("Fire "), F.col("sim").cast("string"), F.lit(" & frame "), F.col("idx").cast("string")), F.col("fire_type")).alias("placemark"))
+
+
+@query(S.query("v_spot", f"WITH {_STATS} SELECT sim, 'FIRE ' || sim || chr(10) || '1. Type: ' || array_to_string(list_transform(string_split(final_type, '_'), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') || chr(10) || '2. Class: ' || {_CLASS.format(*[c[0] for c in A.CLASSES])} || CASE WHEN spot_count > 0 THEN chr(10) || '3. Spots: ' || spot_count ELSE '' END AS report FROM st"))
+def report_text(spark, sf_dir):
+    """A plain report of each fire; the section on spots is there only if there are some."""
+    x = C.spread_stats(V.frames(spark, sf_dir), V.spots(spark, sf_dir))
+    lines = [F.concat(F.lit("FIRE "), F.col("sim").cast("string")), F.concat(F.lit("1. Type: "), A.title(F.col("final_type"))), F.concat(F.lit("2. Class: "), A.intensity_class(F.col("peak_hfi"))), F.when(F.col("spot_count") > 0, F.concat(F.lit("3. Spots: "), F.col("spot_count").cast("string")))]
+    return x.select("sim", F.concat_ws("\n", *lines).alias("report"))
+
+
+@query()
+def resample_angular(spark, sf_dir):
+    """Hulls of the landings of each fire, resampled by angle: grouped, since a hull needs its points together."""
+    import pandas as pd
+
+    from emberline.operators.huygens import _thinned
+
+    def hull(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        points = _thinned(group[["lat", "lng"]].to_numpy())
+        return pd.DataFrame({"sim": key[0], "k": range(len(points)), "lat": points[:, 0], "lng": points[:, 1]})
+
+    distinct = V.spots(spark, sf_dir).select("sim", "lat", "lng").distinct()
+    return distinct.groupBy("sim").applyInPandas(hull, "sim long, k long, lat double, lng double")

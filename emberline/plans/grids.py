@@ -1 +1,240 @@
+"""Queries over grids of cells, and fires that spread on them."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from emberline.functions import geometry as G
+from emberline.functions import rng as R
+from emberline.operators import cellular, huygens, montecarlo, raster, spatial
+from emberline.plans import sql as S
+from emberline.plans import weather
+from emberline.plans.registry import query, r
+from emberline.plans.tables import cut
+from emberline.sources import views as V
+
+EXTENT = (V.LAT_MIN, V.LAT_MAX, V.LNG_MIN, V.LNG_MAX)
+CELL_M = 50.0
+_HAS = "max(CASE WHEN code = {0} THEN 1 ELSE 0 END) = 1"
+_SCHEME = f"sc AS (SELECT CASE WHEN {_HAS.format(42)} AND NOT {_HAS.format(22)} THEN 'fbp' WHEN {_HAS.format(22)} AND NOT {_HAS.format(42)} THEN 'uplvi' WHEN {_HAS.format(14)} AND NOT {_HAS.format(22)} AND NOT {_HAS.format(42)} THEN 'canopy' ELSE 'broad' END AS scheme FROM v_cell)"
+_FUEL = f"WITH {_SCHEME}, k AS (SELECT codes.code, codes.fuel FROM codes JOIN sc ON codes.scheme = sc.scheme), g AS (SELECT v_cell.*, k.fuel FROM v_cell LEFT JOIN k ON v_cell.code = k.code)"
+
+
+def fuel_cells(spark, sf_dir):
+    return raster.with_fuel(V.cells(spark, sf_dir))
+
+
+@query(S.query("v_cell codes", f"WITH {_SCHEME} SELECT scheme, (SELECT count(DISTINCT code) FROM v_cell) AS n_codes FROM sc"))
+def fuel_scheme(spark, sf_dir):
+    c = V.cells(spark, sf_dir)
+    return raster.scheme(c).crossJoin(c.agg(F.countDistinct("code").alias("n_codes")))
+
+
+@query(S.query("v_cell codes", f"{_FUEL} SELECT row, col, fuel FROM g"))
+def fuel_map(spark, sf_dir):
+    return fuel_cells(spark, sf_dir).select("row", "col", "fuel")
+
+
+@query(S.query("v_cell codes", f"{_FUEL} SELECT CASE WHEN grouping(fuel) = 1 THEN 'all' ELSE coalesce(fuel, 'non-fuel') END AS fuel, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM g), 6) AS percent FROM g GROUP BY ROLLUP (fuel)"))
+def fuel_summary_rollup(spark, sf_dir):
+    g = fuel_cells(spark, sf_dir)
+    n = g.agg(F.count("*").alias("cells"))
+    x = g.rollup("fuel").agg(F.count("*").alias("n"), F.grouping("fuel").alias("g"))
+    return x.crossJoin(F.broadcast(n)).select(F.when(F.col("g") == 1, "all").otherwise(F.coalesce("fuel", F.lit("non-fuel"))).alias("fuel"), "n", r(100.0 * F.col("n") / F.col("cells")).alias("percent"))
+
+
+_ROW = "CAST(least(49, greatest(0, floor((53.8::DOUBLE - lat) / (53.8::DOUBLE - 53.3::DOUBLE) * 50))) AS INTEGER)"
+_COL = "CAST(least(39, greatest(0, floor((lng - (-113.8::DOUBLE)) / (-113.2::DOUBLE - (-113.8::DOUBLE)) * 40))) AS INTEGER)"
+
+
+@query(S.query("v_asset v_cell codes", f"{_FUEL}, a AS (SELECT asset, {_ROW} AS row, {_COL} AS col FROM v_asset) SELECT a.asset, a.row, a.col, coalesce(g.fuel, 'none') AS fuel FROM a LEFT JOIN g ON a.row = g.row AND a.col = g.col"))
+def cell_lookup(spark, sf_dir):
+    """The fuel under each asset."""
+    row, col, inside = spatial.cell_of(F.col("lat"), F.col("lng"), EXTENT, 50, 40)
+    a = V.assets(spark, sf_dir).select("asset", F.when(inside, row).alias("row"), F.when(inside, col).alias("col"))
+    return a.join(fuel_cells(spark, sf_dir).select("row", "col", "fuel"), ["row", "col"], "left").select("asset", "row", "col", F.coalesce("fuel", F.lit("none")).alias("fuel"))
+
+
+_MID = "53.8::DOUBLE - (row + 0.5::DOUBLE) * 0.0103::DOUBLE AS lat, -113.8::DOUBLE + (col + 0.5::DOUBLE) * 0.0153::DOUBLE AS lng"
+_RAY = "(lat0 > lat) <> (lat0 + 0.1::DOUBLE > lat) AND lng < lng0 + 0.12::DOUBLE AND NOT lng < lng0"
+
+
+def _middles(c):
+    return c.withColumns({"lat": 53.8 - (F.col("row") + 0.5) * 0.0103, "lng": -113.8 + (F.col("col") + 0.5) * 0.0153})
+
+
+@query(S.query("v_cell v_zone", f"""WITH m AS (SELECT row, col, {_MID} FROM v_cell), i AS (SELECT row, col, min(zone) AS zone FROM m JOIN v_zone ON {_RAY} GROUP BY row, col)
+SELECT m.row, m.col, coalesce(i.zone, -1) AS zone, round(coalesce(ros_mult, 1.0::DOUBLE), 6) AS ros_mult, round(coalesce(ember_mult, 1.0::DOUBLE), 6) AS ember_mult FROM m LEFT JOIN i ON m.row = i.row AND m.col = i.col LEFT JOIN v_zone z ON i.zone = z.zone"""))
+def wui_modifiers(spark, sf_dir):
+    """Multipliers of the first zone that holds a cell's middle; 1 elsewhere."""
+    m = _middles(V.cells(spark, sf_dir).select("row", "col"))
+    z = V.zones(spark, sf_dir)
+    met = spatial.points_in_areas(m, z.withColumn("ring", V.zone_ring()).select("zone", "ring")).groupBy("row", "col").agg(F.min("zone").alias("zone"))
+    x = m.join(met, ["row", "col"], "left").join(F.broadcast(z), "zone", "left")
+    return x.select("row", "col", F.coalesce("zone", F.lit(-1)).alias("zone"), r(F.coalesce("ros_mult", F.lit(1.0))).alias("ros_mult"), r(F.coalesce("ember_mult", F.lit(1.0))).alias("ember_mult"))
+
+
+_RECTS = "rects AS (SELECT lat0 + 0.013::DOUBLE AS lat_lo, lat0 + 0.037::DOUBLE AS lat_hi, lng0 + 0.011::DOUBLE AS lng_lo, lng0 + 0.052::DOUBLE AS lng_hi FROM v_zone WHERE zone % 2 = 0)"
+_MASK = f"""{_RECTS}, grid AS (SELECT CAST(a.range AS INTEGER) AS row, CAST(b.range AS INTEGER) AS col FROM range(50) a CROSS JOIN range(40) b),
+mask AS (SELECT DISTINCT row, col FROM grid JOIN rects ON round((53.8::DOUBLE - lat_hi) / 0.01::DOUBLE, 9) < row + 1 AND round((53.8::DOUBLE - lat_lo) / 0.01::DOUBLE, 9) > row AND round((lng_lo + 113.8::DOUBLE) / 0.015::DOUBLE, 9) < col + 1 AND round((lng_hi + 113.8::DOUBLE) / 0.015::DOUBLE, 9) > col)"""
+
+
+def barriers(spark, sf_dir):
+    z = V.zones(spark, sf_dir).where("zone % 2 = 0")
+    rects = z.select((F.col("lat0") + 0.013).alias("lat_lo"), (F.col("lat0") + 0.037).alias("lat_hi"), (F.col("lng0") + 0.011).alias("lng_lo"), (F.col("lng0") + 0.052).alias("lng_hi"))
+    return raster.touched(rects, EXTENT, 50, 40)
+
+
+@query(S.query("v_zone", f"WITH {_MASK} SELECT row, col FROM mask"))
+def env_mask(spark, sf_dir):
+    """Cells that a barrier touches."""
+    return barriers(spark, sf_dir)
+
+
+@query(S.query("v_cell v_zone codes", f"{_FUEL}, {_MASK} SELECT coalesce(fuel, 'non-fuel') AS fuel, count(*) AS n, count(mask.row) AS masked FROM g LEFT JOIN mask ON g.row = mask.row AND g.col = mask.col GROUP BY 1"))
+def mask_apply(spark, sf_dir):
+    m = barriers(spark, sf_dir).withColumn("masked", F.lit(1))
+    x = fuel_cells(spark, sf_dir).join(F.broadcast(m), ["row", "col"], "left")
+    return x.groupBy(F.coalesce("fuel", F.lit("non-fuel")).alias("fuel")).agg(F.count("*").alias("n"), F.count("masked").alias("masked"))
+
+
+def _grad(line: str, along: str) -> str:
+    w = f"OVER (PARTITION BY {line} ORDER BY {along})"
+    return f"CASE WHEN lag(elev) {w} IS NULL AND lead(elev) {w} IS NULL THEN 0.0::DOUBLE WHEN lag(elev) {w} IS NULL THEN (lead(elev) {w} - elev) / 50.0::DOUBLE WHEN lead(elev) {w} IS NULL THEN (elev - lag(elev) {w}) / 50.0::DOUBLE ELSE (lead(elev) {w} - lag(elev) {w}) / 100.0::DOUBLE END"
+
+
+_TERRAIN = f"WITH t AS (SELECT row, col, elev, {_grad('col', 'row')} AS south, {_grad('row', 'col')} AS east FROM v_cell), s AS (SELECT row, col, elev, sqrt(south * south + east * east) * 100.0::DOUBLE AS slope, ((degrees(atan2(east, -south)) % 360.0::DOUBLE) + 360.0::DOUBLE) % 360.0::DOUBLE AS bearing FROM t), z AS (SELECT row, col, slope, CASE WHEN slope < 0.1 THEN 0.0::DOUBLE ELSE bearing END AS aspect FROM s)"
+
+
+@query(S.query("v_cell", f"{_TERRAIN} SELECT row, col, round(slope, 5) AS slope, round(aspect, 4) AS aspect FROM z"))
+def terrain_slope_aspect(spark, sf_dir):
+    return raster.terrain(V.cells(spark, sf_dir).select("row", "col", "elev"), CELL_M).select("row", "col", r("slope", 5), r("aspect", 4))
+
+
+@query(S.query("v_cell", f"{_TERRAIN} SELECT round(avg(slope) FILTER (slope > 0.1), 5) AS mean_slope, round(max(slope), 5) AS top_slope, round(100.0::DOUBLE * count(*) FILTER (slope > 20) / count(*), 5) AS percent_steep FROM z"))
+def terrain_summary(spark, sf_dir):
+    x = raster.terrain(V.cells(spark, sf_dir).select("row", "col", "elev"), CELL_M)
+    return x.agg(r(F.avg(F.when(F.col("slope") > 0.1, F.col("slope"))), 5).alias("mean_slope"), r(F.max("slope"), 5).alias("top_slope"), r(100.0 * F.count_if(F.col("slope") > 20) / F.count("*"), 5).alias("percent_steep"))
+
+
+@query(S.query("v_cell", "SELECT row, col, round(CASE WHEN code = 98 THEN (SELECT avg(elev) FROM v_cell WHERE code <> 98) ELSE elev END, 5) AS elev FROM v_cell"))
+def nodata_fill(spark, sf_dir):
+    c = V.cells(spark, sf_dir)
+    return raster.filled(c, F.col("code") == 98).select("row", "col", r("elev", 5))
+
+
+def _mosaic_sql() -> str:
+    block = "((row // 10) * 100000 + col // 10)"
+    own = "(CAST(row AS BIGINT) * 100000 + col)"
+    u = f"CASE WHEN {R.uniform_sql('7', '2', own)} < 0.1::DOUBLE THEN {R.uniform_sql('7', '3', own)} ELSE {R.uniform_sql('7', '1', block)} END"
+    pick = " ".join(f"WHEN u < {w}::DOUBLE THEN '{f}'" for f, w in raster.PALETTE)
+    return f"WITH g AS (SELECT CAST(range // 80 AS INTEGER) AS row, CAST(range % 80 AS INTEGER) AS col FROM range(6400)), u AS (SELECT *, {u} AS u FROM g) SELECT row, col, coalesce(CASE {pick} END, CASE WHEN row = 40 AND col = 40 THEN 'C2' END) AS fuel FROM u"
+
+
+@query(_mosaic_sql())
+def synthetic_mosaic(spark, sf_dir):
+    return raster.mosaic(spark, 80, 80, 7, (40, 40))
+
+
+@query(S.query("v_cell codes", f"{_FUEL} SELECT row, col, CAST(greatest(abs(row - 2), abs(col - 0)) AS INTEGER) AS rings FROM g WHERE fuel IS NOT NULL AND greatest(abs(row - 2), abs(col - 0)) <= 100 ORDER BY rings, row, col LIMIT 1"))
+def ignition_snap(spark, sf_dir):
+    """The fuel cell nearest to a place without fuel."""
+    return cellular.snapped(fuel_cells(spark, sf_dir), 2, 0)
+
+
+@query(S.query("v_cell codes", f"{_FUEL} SELECT CAST(row // 3 AS INTEGER) AS row, CAST(col // 3 AS INTEGER) AS col, fuel FROM g WHERE row % 3 = 0 AND col % 3 = 0"))
+def raster_coarser(spark, sf_dir):
+    """The grid at a third of its resolution."""
+    return raster.coarser(fuel_cells(spark, sf_dir).select("row", "col", "fuel"), 3)
+
+
+_KEY = "(row * 100000 + col)"
+
+
+@query(S.query("v_cell v_scen fuels codes", f"""{_FUEL}, {S.fbp('0.0::DOUBLE', source="(SELECT f.fuel, 25.0::DOUBLE AS wind, 90.0::DOUBLE AS ffmc, 45.0::DOUBLE AS dmc, 300.0::DOUBLE AS dc, 50.0::DOUBLE AS pc, 60.0::DOUBLE AS cure FROM fuels f)")[5:]},
+b AS (SELECT g.row, g.col, ros_final AS ros, hfi AS fi FROM g JOIN fbp ON g.fuel = fbp.fuel WHERE (g.row * 7 + g.col * 3) % 10 < 3),
+n AS (SELECT b.*, row + d[1] AS to_row, col + d[2] AS to_col, CAST(d[3] AS DOUBLE) AS angle FROM (SELECT *, unnest([[-1, 0, 0], [-1, 1, 45], [0, 1, 90], [1, 1, 135], [1, 0, 180], [1, -1, 225], [0, -1, 270], [-1, -1, 315]]) AS d FROM b WHERE ros > 0.001) b),
+t AS (SELECT n.* FROM n JOIN g ON g.row = to_row AND g.col = to_col AND g.fuel IS NOT NULL WHERE (to_row * 7 + to_col * 3) % 10 >= 3),
+p AS (SELECT *, {S.spread_prob('angle', '90.0::DOUBLE', 'ros', S.lbr('25.0::DOUBLE'), '50.0::DOUBLE', '1.0::DOUBLE')} AS p, {R.uniform_sql('11', '4', _KEY, '(to_row * 100000 + to_col)')} AS u FROM t),
+h AS (SELECT *, 0.0::DOUBLE + sum(p * fi / 1000.0::DOUBLE) OVER (PARTITION BY to_row, to_col ORDER BY row, col ROWS UNBOUNDED PRECEDING) AS heat FROM p)
+SELECT CAST(to_row AS INTEGER) AS row, CAST(to_col AS INTEGER) AS col, round(arg_min(fi, (row, col)), 3) AS intensity FROM h WHERE u < p OR heat > 5 GROUP BY 1, 2"""))
+def ca_one_step(spark, sf_dir):
+    """One step of the cellular model, as joins, from every third cell burning."""
+    from emberline.functions import fbp as B
+    from emberline.functions.fuels import fuel_table
+
+    g = fuel_cells(spark, sf_dir).where("fuel is not null").select("row", "col", "fuel")
+    weather_ = {"wind": 25.0, "ffmc": 90.0, "dmc": 45.0, "dc": 300.0, "pc": 50.0, "cure": 60.0}
+    rates = B.with_fbp(fuel_table(spark).select("fuel", *[F.lit(v).alias(k) for k, v in weather_.items()]), slope=False).select("fuel", F.col("ros_final").alias("ros"), F.col("hfi").alias("fi"))
+    alight = (F.col("row") * 7 + F.col("col") * 3) % 10 < 3
+    burning = g.where(alight).join(F.broadcast(rates), "fuel").select("row", "col", "ros", "fi", G.length_to_breadth(F.lit(25.0)).alias("lbr"), F.lit(90.0).alias("toward"), F.lit(0.0).alias("slope"), F.lit(0.0).alias("aspect"))
+    lit = cellular.one_step(burning, g.select("row", "col", F.lit(0.0).alias("carry")), g.where(alight).select("row", "col"), 11, 4, 50.0, 1.0)
+    return lit.select("row", "col", r("intensity", 3))
+
+
+_WEATHER = {"wind": 25.0, "dir": 270.0, "ffmc": 90.0, "dmc": 45.0, "dc": 300.0, "pc": 50.0, "cure": 60.0}
+
+
+@query()
+def ca_frames(spark, sf_dir):
+    """Snapshots of cellular runs on the mosaic, one run per ignition."""
+    cells = raster.mosaic(spark, 80, 80, 7, (40, 40))
+    runs = spark.range(8).select(F.col("id").alias("sim"), (30 + F.col("id") * 3).cast("int").alias("row"), F.lit(40).alias("col"), *[F.lit(v).alias(k) for k, v in _WEATHER.items()], F.lit(2.0).alias("hours"), (F.col("id") + 1).alias("seed"))
+    lit = cut(cellular.arrivals(montecarlo.with_rates(runs), cells, CELL_M, 1.0))
+    return cellular.frame_stats(lit, cells, 1.0, 30.0, CELL_M, 2.0)
+
+
+def probability(spark, n: int = 24):
+    cells = raster.mosaic(spark, 80, 80, 7, (40, 40))
+    runs = montecarlo.iterations(spark, n, 42, 40, 40, CELL_M, _WEATHER, 2.0)
+    return montecarlo.burn_probability(runs, cells, CELL_M)
+
+
+@query()
+def burn_probability(spark, sf_dir):
+    """Share of the iterations in which each cell of the mosaic burns."""
+    return probability(spark)
+
+
+@query()
+def mc_summary(spark, sf_dir):
+    return probability(spark).agg(F.count_if(F.col("p") > 0).alias("cells"), r(100.0 * F.count_if(F.col("p") > 0) / F.count("*"), 4).alias("percent"), F.max("p").alias("top"))
+
+
+def fires(spark, sf_dir, hours: float = 2.0):
+    """One fire of every fiftieth scenario: a bounded set of what-if runs."""
+    s = V.scenarios(spark, sf_dir).where("scen % 50 = 0").withColumnRenamed("scen", "sim")
+    return s.select("sim", "fuel", "wind", "dir", "ffmc", "dmc", "dc", "pc", "cure", F.lit(53.55).alias("lat"), F.lit(-113.5).alias("lng"), F.lit(hours).alias("hours"), F.lit(0.5).alias("snapshot"))
+
+
+@query()
+def huygens_frames(spark, sf_dir):
+    """Frames of wavelet fires in one fuel each."""
+    x = huygens.frames(fires(spark, sf_dir))
+    return x.select("sim", "idx", "t", "n_fronts", "n_points", r("area_ha", 4), r("head_ros", 5), r("hfi", 3), "fire_type")
+
+
+@query()
+def override(spark, sf_dir):
+    """Fires that go on from an observed perimeter."""
+    ring = G.circle(F.lit(53.55), F.lit(-113.5), F.lit(200.0), 36)
+    x = huygens.frames(fires(spark, sf_dir, 1.0).withColumn("front", ring))
+    return x.select("sim", "idx", "t", "n_points", r("area_ha", 4), r("hfi", 3), "fire_type")
+
+
+@query()
+def multiday(spark, sf_dir):
+    """Three days of one fire per station: each day's codes from the chain, its front from the day before."""
+    days = weather.chain(spark, sf_dir).where("day <= 3 and station % 5 = 0").select(F.col("station").alias("sim"), "day", "ffmc", "dmc", "dc", "wind")
+    days = cut(days)
+    front, out = None, None
+    for d in (1, 2, 3):
+        s = days.where(F.col("day") == d).select("sim", F.lit("D1").alias("fuel"), "wind", F.lit(270.0).alias("dir"), "ffmc", "dmc", "dc", F.lit(50.0).alias("pc"), F.lit(60.0).alias("cure"), F.lit(53.55).alias("lat"), F.lit(-113.5).alias("lng"), F.lit(6.0).alias("hours"), F.lit(2.0).alias("snapshot"))
+        if front is not None:
+            s = s.join(front, "sim")
+        f = cut(huygens.frames(s))
+        front = f.groupBy("sim").agg(F.max_by("perimeter", "idx").alias("front"))
+        shown = f.where("t > 0") if d > 1 else f
+        part = shown.select("sim", F.lit(d).alias("day"), F.round(F.col("t") + 24.0 * (d - 1), 3).alias("t"), r("area_ha", 4), "fire_type")
+        out = part if out is None else out.unionByName(part)
+    return out
