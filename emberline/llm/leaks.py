@@ -112,8 +112,8 @@ def without_contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", t
     """The rows of df in whose text no benchmark window occurs."""
     _, met = _matches(df, items, key, text, item_key, item_text, window)
     rows = df.withColumn("__row", F.xxhash64(key, text))
-    hit = met.select("doc", "row").distinct()
-    return rows.join(hit, F.col(key).eqNullSafe(F.col("doc")) & (F.col("__row") == F.col("row")), "left_anti").drop("__row")
+    hit = met.select(F.col("doc").alias("__hit_doc"), F.col("row").alias("__hit_row")).distinct()
+    return rows.join(hit, F.col(key).eqNullSafe(F.col("__hit_doc")) & (F.col("__row") == F.col("__hit_row")), "left_anti").drop("__row")
 
 
 def contamination(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:

@@ -194,7 +194,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         return blocks.where(rows).groupBy("block").cogroup(own.where(rows).groupBy("block"))
 
     counted = together(f"block >= {n_blocks}").applyInArrow(tally, "bucket int, two int, one int, n long").groupBy("bucket", "two", "one").agg(F.sum("n"))
-    weights = _weights([tuple(r) for r in counted.collect()], 1 / (kept_v + 1))
+    weights = _weights([tuple(r) for r in counted.collect()], 1 / (kept_v + 1)) if all_n else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
     def marks(docs: pa.Table, answered: pa.Table) -> pa.Table:
         block = _Block(docs.column("text").combine_chunks(), pair_bits)
