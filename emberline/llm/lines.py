@@ -214,3 +214,14 @@ def dedup_line_digests(df: DataFrame, key: str = "doc_id", text: str = "text", m
 
     rows = _with_drops(df.select(key, text), key, text, min_chars)
     return rows.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS place FROM t),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key FROM l),
+r AS (SELECT line_key, min(doc_id) AS first_doc FROM k WHERE length(line_key) >= 10 GROUP BY line_key HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT k.*, coalesce(doc_id > first_doc, false) AS gone FROM k LEFT JOIN r ON k.line_key = r.line_key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM x GROUP BY doc_id
+"""

@@ -264,3 +264,24 @@ def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "tex
     """The rows of df that near_duplicates() keeps."""
     gone = _components_of(df, key, text, size, percent).where("component != __key").select("__key")
     return df.withColumn("__key", F.col(key).cast("long")).join(gone, "__key", "left_anti").drop("__key")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle FROM w)),
+c AS (SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS print FROM s GROUP BY doc_id),
+leads AS (SELECT min(doc_id) AS lead, any_value(n) AS n, print FROM c GROUP BY print),
+own AS (SELECT lead, n, shingle FROM leads JOIN s ON s.doc_id = lead),
+p AS (
+  SELECT a.lead AS a, b.lead AS b, any_value(a.n + b.n) AS both_n, count(*) AS common FROM own a JOIN own b ON a.shingle = b.shingle AND a.lead < b.lead
+  WHERE 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.lead, b.lead),
+e AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (both_n - common)),
+edges AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(x, y) AS (SELECT lead, lead FROM leads UNION SELECT reach.x, edges.b FROM reach JOIN edges ON reach.y = edges.a),
+comp AS (SELECT x AS lead, min(y) AS component FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN leads ON c.print = leads.print LEFT JOIN comp ON leads.lead = comp.lead
+"""

@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": leaks.ORACLE, "op8_revisits": revisits.ORACLE, "op9_chat": chat.ORACLE}
+    return {"op1_decontamination": leaks.ORACLE, "op2_line_dedup": lines.ORACLE, "op3_near_duplicates": near.ORACLE, "op8_revisits": revisits.ORACLE, "op9_chat": chat.ORACLE}
