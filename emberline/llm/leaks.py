@@ -26,9 +26,13 @@ def word_array(text: str) -> Column:
     return F.array_remove(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
+def _few(df: DataFrame) -> bool:
+    return df.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df, marked to be sent to every task if it has few rows."""
-    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+    return F.broadcast(df) if _few(df) else df
 
 
 def phrases(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -47,9 +51,12 @@ def inverted_index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     docs: doc, row, words; terms: term, small or not.
     """
     tokens = docs.select("doc", "row", "words", F.posexplode("words").alias("pos", "term"))
-    found = tokens.join(_small(terms.select("term")), "term")
     first = F.greatest(F.col("pos") - reach, F.lit(0))
-    return found.select("doc", "row", "term", "pos", (F.col("pos") - first + 1).alias("at"), F.slice("words", first + 1, F.col("pos") - first + reach + 1).alias("around"))
+    posting = ["doc", "row", "term", "pos", (F.col("pos") - first + 1).alias("at"), F.slice("words", first + 1, F.col("pos") - first + reach + 1).alias("around")]
+    wanted = terms.select("term")
+    if _few(wanted):  # the neighbourhood is cut out of the text for what is found alone
+        return tokens.join(F.broadcast(wanted), "term").select(posting)
+    return tokens.select(posting).join(wanted, "term")  # what shuffles is a neighbourhood a token, not a text a token
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
