@@ -102,57 +102,55 @@ class Field:
         label = np.zeros(len(text), np.int64)
         if not len(text):
             return label
-        score, grid, at, length = features @ self.states, *_grid(text, n)
-        best = score[at].copy()
-        back = []
-        for t in range(1, grid.shape[1]):
-            rows = length > t
-            step = best[rows][:, :, None] + self.moves[None]
-            back.append((rows, step.argmax(1)))
-            best[rows] = step.max(1) + score[grid[rows, t]]
+        score, (at, length, active) = features @ self.states, _runs(text, n)
+        best, back = score[at], []
+        for t in range(1, len(active)):
+            m = active[t]
+            step = best[:m, :, None] + self.moves[None]
+            back.append(step.argmax(1))
+            best[:m] = step.max(1) + score[at[:m] + t]
         state = best.argmax(1)
         label[at + length - 1] = state
-        for t in range(grid.shape[1] - 1, 0, -1):
-            rows, came = back[t - 1]
-            state[rows] = came[np.arange(len(came)), state[rows]]
-            label[grid[rows, t - 1]] = state[rows]
+        for t in range(len(active) - 1, 0, -1):
+            m = active[t]
+            state[:m] = back[t - 1][np.arange(m), state[:m]]
+            label[at[:m] + t - 1] = state[:m]
         return label
 
 
-def _grid(text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text with lines: its lines in a row of a table, its first line, its number of lines."""
+def _runs(text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts with lines, those with most first: first line and number of lines; and how many texts have more than t lines, by t."""
     count = np.bincount(text, minlength=n)
-    first = (np.cumsum(count) - count)[count > 0]
-    length = count[count > 0]
-    return np.minimum(first[:, None] + np.arange(length.max()), len(text) - 1), first, length
+    order = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+    return (np.cumsum(count) - count)[order], count[order], len(order) - np.cumsum(np.bincount(count[order]))[:-1]
 
 
 def _train_field(features: np.ndarray, label: np.ndarray, text: np.ndarray, n: int, rounds: int = 80) -> Field:
     """Maximises the labels' conditional likelihood, by forward and backward sums and Adam steps."""
-    grid, at, length = _grid(text, n)
+    at, length, active = _runs(text, n)
     w, moves = np.zeros((features.shape[1], 2)), np.zeros((2, 2))
     m = [np.zeros_like(w), np.zeros_like(moves), np.zeros_like(w), np.zeros_like(moves)]
     one = np.eye(2)[label]
     inner = np.flatnonzero(text[1:] == text[:-1])
     seen_moves = np.zeros((2, 2))
     np.add.at(seen_moves, (label[inner], label[inner + 1]), 1)
-    steps_ = grid.shape[1]
     for r in range(1, rounds + 1):
         score = features @ w
         forward, backward = np.empty_like(score), np.zeros_like(score)
         forward[at] = score[at]
-        for t in range(1, steps_):
-            rows = length > t
-            here, prior = grid[rows, t], grid[rows, t - 1]
+        for t in range(1, len(active)):
+            here = at[: active[t]] + t
+            prior = here - 1
             forward[here] = np.logaddexp(forward[prior, 0:1] + moves[0], forward[prior, 1:2] + moves[1]) + score[here]
-        for t in range(steps_ - 1, 0, -1):
-            rows = length > t
-            here, prior = grid[rows, t], grid[rows, t - 1]
+        for t in range(len(active) - 1, 0, -1):
+            here = at[: active[t]] + t
+            prior = here - 1
             later = score[here] + backward[here]
             backward[prior] = np.stack([np.logaddexp(later[:, 0] + moves[k, 0], later[:, 1] + moves[k, 1]) for k in (0, 1)], 1)
         last = at + length - 1
-        total = np.logaddexp(forward[last, 0], forward[last, 1])
-        total = np.repeat(total, length)
+        of_text = np.zeros(n)
+        of_text[text[at]] = np.logaddexp(forward[last, 0], forward[last, 1])
+        total = of_text[text]
         chance = np.exp(forward + backward - total[:, None])
         pair = np.exp(forward[inner][:, :, None] + moves[None] + (score[inner + 1] + backward[inner + 1])[:, None, :] - total[inner][:, None, None])
         grads = [features.T @ (one - chance) / len(text) - 1e-4 * w, (seen_moves - pair.sum(0)) / len(text) - 1e-3 * moves]

@@ -61,6 +61,12 @@ def test_contamination_of_awkward_rows(spark):
     same(clean.select("doc_id", "text"), [r for r, x in zip(AWKWARD, brute.contamination(AWKWARD, ITEMS)) if not x[-1]])
 
 
+def test_a_large_benchmark_shuffles_and_gives_the_same(spark, real, monkeypatch):
+    monkeypatch.setattr(leaks, "SENT_ROWS", 0)
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    same(queries.op1_decontamination(spark, SF), brute.contamination(real, items))
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     same(leaks.contamination(table(spark, AWKWARD), none), brute.contamination(AWKWARD, []))
