@@ -31,6 +31,10 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Strings of clean texts to learn from at first, and rounds in which those that the machine mistakes are added.
 NEGATIVES, MINING = 6000, 7
+#: Lengths of the n-grams that label sentences.
+GRAMS = (4, 6, 8)
+#: Deviations by which what tells is commoner in toxic texts than by chance; there are some hundred thousand strings and n-grams to be mistaken about.
+SIGNIFICANT = 7
 _FLOOR, _CEILING = -2.0, 1.0
 
 _SYMBOL = np.zeros(256, np.int32)
@@ -125,16 +129,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
 
 
-def _grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(string, code) of the character 4-grams of strings, by their place; the first one begins with the mark of the start."""
+def _grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(string, code) of the character n-grams of strings, by their place; the first one begins with the mark of the start. Codes have 20 bits."""
     size = ends - starts
     for off in range(-1, int(min(30, size.max(initial=0)))):
-        k = np.flatnonzero(size >= off + 4)
+        k = np.flatnonzero(size >= off + n)
         at = starts[k] + off
-        code = np.full(len(k), _START, np.int64) if off < 0 else _SYMBOL[buf[at]].astype(np.int64)
-        for j in range(1, 4):
-            code = (code << 5) + _SYMBOL[buf[at + j]]
-        yield k, code
+        code = np.full(len(k), _START, np.uint64) if off < 0 else _SYMBOL[buf[at]].astype(np.uint64)
+        for j in range(1, n):
+            code = (code << np.uint64(5)) + _SYMBOL[buf[at + j]].astype(np.uint64)
+        yield k, (code if n == 4 else mix(code) >> np.uint64(44)).astype(np.int64)
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e-7) -> tuple[np.ndarray, float]:
@@ -181,21 +185,26 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     starts, ends = starts[at], ends[at]
     seen = np.unique((each << 20) + text)  # in which text each distinct string is
     seen = np.stack([seen >> 20, seen & ((1 << 20) - 1)], 1)
-    # sentences of toxic texts are labelled by what tells the two kinds of texts apart: character 4-grams of their strings
-    both, hits = np.zeros(1 << 20, np.int64), np.zeros(1 << 20, np.int64)
-    of_text = np.argsort(seen[:, 1], kind="stable")
-    for i in range(0, len(learn), 100):  # a few texts at a time, for the driver's memory
-        part = of_text[np.searchsorted(seen[of_text, 1], i) : np.searchsorted(seen[of_text, 1], i + 100)]
-        for_string, for_text = seen[part, 0], seen[part, 1]
-        there = np.unique(np.concatenate([(code << 20) + for_text[k] for k, code in _grams(buf, starts[for_string], ends[for_string])]))
-        both += np.bincount(there >> 20, minlength=1 << 20)
-        hits += np.bincount((there >> 20)[bad[there & ((1 << 20) - 1)]], minlength=1 << 20)
+    # sentences of toxic texts are labelled by what tells the two kinds of texts apart: whole strings, and character n-grams of them
     rate = bad.mean()
-    z = (hits - both * rate) / np.sqrt(np.maximum(both * rate * (1 - rate), 1e-9))
-    telling = (hits >= 4) & (hits >= 0.85 * both) & (z > 5)
-    marked = np.zeros(len(starts), bool)
-    for k, code in _grams(buf, starts, ends):
-        marked[k[telling[code]]] = True
+
+    def telling(both: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        z = (hits - both * rate) / np.sqrt(np.maximum(both * rate * (1 - rate), 1e-9))
+        return (hits >= 0.85 * both) & (z > SIGNIFICANT)
+
+    of_text = np.argsort(seen[:, 1], kind="stable")
+    marked = telling(np.bincount(seen[:, 0], minlength=len(starts)), np.bincount(seen[:, 0], bad[seen[:, 1]], len(starts)))
+    for n in GRAMS:
+        both, hits = np.zeros(1 << 20, np.int64), np.zeros(1 << 20, np.int64)
+        for i in range(0, len(learn), 100):  # a few texts at a time, for the driver's memory
+            part = of_text[np.searchsorted(seen[of_text, 1], i) : np.searchsorted(seen[of_text, 1], i + 100)]
+            for_string, for_text = seen[part, 0], seen[part, 1]
+            there = np.unique(np.concatenate([np.empty(0, np.int64), *((code << 20) + for_text[k] for k, code in _grams(buf, starts[for_string], ends[for_string], n))]))
+            both += np.bincount(there >> 20, minlength=1 << 20)
+            hits += np.bincount((there >> 20)[bad[there & ((1 << 20) - 1)]], minlength=1 << 20)
+        says = telling(both, hits)
+        for k, code in _grams(buf, starts, ends, n):
+            marked[k[says[code]]] = True
     clean_in = np.bincount(seen[:, 0], ~bad[seen[:, 1]], len(starts))
     bad_in = np.bincount(seen[:, 0], bad[seen[:, 1]], len(starts))
     positive = np.flatnonzero(marked & (clean_in <= 0.1 * bad_in))

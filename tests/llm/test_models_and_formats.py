@@ -15,7 +15,7 @@ from test_documents import AWKWARD, PASSAGE, prose, same, table
 
 from emberline.llm import chat, pieces, queries, revisits, toxic
 
-SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SF, LARGER, LARGEST = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")
@@ -39,15 +39,15 @@ def test_rows_equal_the_sql(spark, db, name):
 
 
 def test_toxic_documents_are_told_apart_when_held_out(spark):
-    out = queries.op6_toxicity(spark, LARGER)
-    labels = spark.read.parquet(f"{LARGER}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    """On the table with 329 toxic documents to learn from, in four languages."""
+    out = queries.op6_toxicity(spark, LARGEST)
+    labels = spark.read.parquet(f"{LARGEST}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
     rows = out.join(labels, "doc_id").collect()
     assert all(r.held_out == (brute.crc_mod(r.doc_id, 4) == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
     apart = [(r.score, r.toxic) for r in rows if r.held_out]
     bad, good = (np.array([s for s, t in apart if t == k]) for k in (1, 0))
-    assert len(bad) >= 5 and len(good) >= 5
     assert (bad[:, None] > good[None]).mean() + 0.5 * (bad[:, None] == good[None]).mean() > 0.9
-    assert (bad >= 0.3).mean() >= 0.8 and (good < 0.3).mean() >= 0.9
+    assert (bad >= 0.3).mean() >= 0.8 and (good < 0.3).mean() >= 0.95
 
 
 def test_labels_of_held_out_rows_and_other_columns_do_not_matter(spark):
