@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberline.plans import behaviour, consequences, grids, places, weather  # noqa: F401  they register their queries
+from emberline.plans import behaviour, consequences, grids, incidents, places, weather  # noqa: F401  they register their queries
 from emberline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# 16 points of the compass; limits of the suppression classes (kW/m) with their strategy; limits of the metric bands.
+# 16 points of the compass; limits of the suppression classes (kW/m) with their strategy; limits of the metric bands; kinds of teams.
 POINTS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
 CLASSES = (
     ("I", 200.0, "Direct Attack", True),
@@ -15,6 +15,13 @@ CLASSES = (
     ("V", None, "Life Safety Only — No Suppression", False),
 )
 BANDS = (10.0, 500.0, 2000.0, 4000.0, 10000.0)
+COMPLEXITY = (
+    (200.0, "Type 5 — Single resource / small crew"),
+    (500.0, "Type 4 — Initial attack, small IMT"),
+    (2000.0, "Type 3 — Extended attack IMT"),
+    (4000.0, "Type 2 — Multi-agency / multi-division"),
+    (None, "Type 1 — National/Regional IMT"),
+)
 TYPES = ("surface", "surface_with_torching", "passive_crown", "active_crown")
 
 
@@ -41,6 +48,10 @@ def intensity_band(hfi: Column) -> Column:
     return _ladder(hfi, [(b, i) for i, b in enumerate(BANDS)], len(BANDS))
 
 
+def complexity(hfi: Column) -> Column:
+    return _ladder(hfi, COMPLEXITY[:-1], COMPLEXITY[-1][1])
+
+
 def standoff_m(fire_type: Column, spot_count: Column, max_spot_m: Column) -> Column:
     """Distance that drones keep: 500 m, or half as far again as embers fly; 1 km more at a crown fire."""
     base = F.when(spot_count > 0, F.greatest(F.lit(500.0), max_spot_m * 1.5)).otherwise(500.0)

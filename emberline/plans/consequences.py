@@ -92,7 +92,7 @@ def evac_areas(spark, sf_dir):
     return tiers.select("sim", "tier", r("area_ha", 4))
 
 
-@query(S.query("v_frame v_asset", f"""WITH {_INSIDE}, hist AS (SELECT sim, community, 1 + (community + sim) % 3 AS rank FROM tiers WHERE community % 2 = 0),
+@query(S.query("v_frame v_asset", f"""WITH {_INSIDE}, hist AS (SELECT sim, community, 1 + (community + sim) % 3 AS rank FROM tiers),
 x AS (SELECT coalesce(t.sim, h.sim) AS sim, coalesce(t.community, h.community) AS community, coalesce(t.rank, 0) AS cur, coalesce(h.rank, 0) AS old FROM tiers t FULL OUTER JOIN (SELECT * FROM hist WHERE rank >= 2) h ON t.sim = h.sim AND t.community = h.community)
 SELECT sim, CASE greatest(cur, old) WHEN 3 THEN 'Order' WHEN 2 THEN 'Alert' ELSE 'Watch' END AS tier, CASE WHEN old > cur THEN 'history' ELSE 'current' END AS source, count(*) AS n FROM x GROUP BY ALL"""))
 def evac_history(spark, sf_dir):
@@ -100,7 +100,7 @@ def evac_history(spark, sf_dir):
     _, found = C.evacuation(spark, V.frames(spark, sf_dir), communities(spark, sf_dir))
     rank = (1 + (F.col("community") + F.col("sim")) % 3).cast("int")
     tier = F.element_at(F.array(F.lit("Watch"), F.lit("Alert"), F.lit("Order")), rank)
-    history = found.where("community % 2 = 0").select("sim", "community", tier.alias("tier"), rank.alias("rank"))
+    history = found.select("sim", "community", tier.alias("tier"), rank.alias("rank"))
     return C.with_history(found.select("sim", "community", "tier", "rank"), history).groupBy("sim", "tier", "source").agg(F.count("*").alias("n"))
 
 
@@ -122,10 +122,10 @@ def burn_area_stats(spark, sf_dir):
     return p.agg(*[r(F.count_if(F.col("p") >= t / 100) * 0.25, 4).alias(f"ha{t}") for t in (25, 50, 75)], F.max("p").alias("top_p"))
 
 
-@query(S.query("v_frame v_asset", f"WITH {_EDGE}, {_COMMUNITY}, met AS (SELECT sim, idx, community, count(*) FILTER ((plat > clat) <> (qlat > clat) AND clng < (qlng - plng) * (clat - plat) / nullif(qlat - plat, 0) + plng) AS crossings FROM edge CROSS JOIN community WHERE idx % 10 = 0 GROUP BY ALL) SELECT sim, idx, count(*) AS n FROM met WHERE crossings % 2 = 1 GROUP BY sim, idx"))
+@query(S.query("v_frame v_asset", f"WITH {_EDGE}, {_COMMUNITY}, met AS (SELECT sim, idx, community, count(*) FILTER ((plat > clat) <> (qlat > clat) AND clng < (qlng - plng) * (clat - plat) / nullif(qlat - plat, 0) + plng) AS crossings FROM edge CROSS JOIN community GROUP BY ALL) SELECT sim, idx, count(*) AS n FROM met WHERE crossings % 2 = 1 GROUP BY sim, idx"))
 def buildings_at_risk(spark, sf_dir):
-    """Buildings inside every tenth frame's perimeter."""
-    f = V.frames(spark, sf_dir).where("idx % 10 = 0").select("sim", "idx", F.col("perimeter").alias("ring"))
+    """Buildings inside each frame's perimeter."""
+    f = V.frames(spark, sf_dir).select("sim", "idx", F.col("perimeter").alias("ring"))
     return spatial.points_in_areas(communities(spark, sf_dir), f, 0.005).groupBy("sim", "idx").agg(F.count("*").alias("n"))
 
 

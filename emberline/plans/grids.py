@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import geometry as G
 from emberline.functions import rng as R
+from emberline.functions.fuels import CODES
 from emberline.operators import cellular, huygens, montecarlo, raster, spatial
 from emberline.plans import sql as S
 from emberline.plans import weather
@@ -74,13 +75,13 @@ def wui_modifiers(spark, sf_dir):
     return x.select("row", "col", F.coalesce("zone", F.lit(-1)).alias("zone"), r(F.coalesce("ros_mult", F.lit(1.0))).alias("ros_mult"), r(F.coalesce("ember_mult", F.lit(1.0))).alias("ember_mult"))
 
 
-_RECTS = "rects AS (SELECT lat0 + 0.013::DOUBLE AS lat_lo, lat0 + 0.037::DOUBLE AS lat_hi, lng0 + 0.011::DOUBLE AS lng_lo, lng0 + 0.052::DOUBLE AS lng_hi FROM v_zone WHERE zone % 2 = 0)"
+_RECTS = "rects AS (SELECT lat0 + 0.013::DOUBLE AS lat_lo, lat0 + 0.037::DOUBLE AS lat_hi, lng0 + 0.011::DOUBLE AS lng_lo, lng0 + 0.052::DOUBLE AS lng_hi FROM v_zone)"
 _MASK = f"""{_RECTS}, grid AS (SELECT CAST(a.range AS INTEGER) AS row, CAST(b.range AS INTEGER) AS col FROM range(50) a CROSS JOIN range(40) b),
 mask AS (SELECT DISTINCT row, col FROM grid JOIN rects ON round((53.8::DOUBLE - lat_hi) / 0.01::DOUBLE, 9) < row + 1 AND round((53.8::DOUBLE - lat_lo) / 0.01::DOUBLE, 9) > row AND round((lng_lo + 113.8::DOUBLE) / 0.015::DOUBLE, 9) < col + 1 AND round((lng_hi + 113.8::DOUBLE) / 0.015::DOUBLE, 9) > col)"""
 
 
 def barriers(spark, sf_dir):
-    z = V.zones(spark, sf_dir).where("zone % 2 = 0")
+    z = V.zones(spark, sf_dir)
     rects = z.select((F.col("lat0") + 0.013).alias("lat_lo"), (F.col("lat0") + 0.037).alias("lat_hi"), (F.col("lng0") + 0.011).alias("lng_lo"), (F.col("lng0") + 0.052).alias("lng_hi"))
     return raster.touched(rects, EXTENT, 50, 40)
 
@@ -202,9 +203,13 @@ def mc_summary(spark, sf_dir):
 
 
 def fires(spark, sf_dir, hours: float = 2.0):
-    """One fire of every fiftieth scenario: a bounded set of what-if runs."""
-    s = V.scenarios(spark, sf_dir).where("scen % 50 = 0").withColumnRenamed("scen", "sim")
-    return s.select("sim", "fuel", "wind", "dir", "ffmc", "dmc", "dc", "pc", "cure", F.lit(53.55).alias("lat"), F.lit(-113.5).alias("lng"), F.lit(hours).alias("hours"), F.lit(0.5).alias("snapshot"))
+    """A fire beside each station, in a fuel and weather that follow from the station's number and reading."""
+    k, fuel = F.col("station"), F.array(*[F.lit(c) for c in CODES])
+    s = V.stations(spark, sf_dir).select(
+        k.alias("sim"), F.element_at(fuel, (k % 18 + 1).cast("int")).alias("fuel"), (F.abs("reading") % 60.0).alias("wind"), (k * 11 % 360).cast("double").alias("dir"), (80.0 + (k * 13 % 160).cast("double") / 10.0).alias("ffmc"),
+        (F.abs("reading") % 150.0).alias("dmc"), (k * 31 % 800).cast("double").alias("dc"), (k % 101).cast("double").alias("pc"), (50.0 + (k % 51).cast("double")).alias("cure"), F.col("slat").alias("lat"), F.col("slng").alias("lng"),
+    )
+    return s.withColumns({"hours": F.lit(hours), "snapshot": F.lit(0.5)})
 
 
 @query()
@@ -217,7 +222,7 @@ def huygens_frames(spark, sf_dir):
 @query()
 def override(spark, sf_dir):
     """Fires that go on from an observed perimeter."""
-    ring = G.circle(F.lit(53.55), F.lit(-113.5), F.lit(200.0), 36)
+    ring = G.circle(F.col("lat"), F.col("lng"), F.lit(200.0), 36)
     x = huygens.frames(fires(spark, sf_dir, 1.0).withColumn("front", ring))
     return x.select("sim", "idx", "t", "n_points", r("area_ha", 4), r("hfi", 3), "fire_type")
 
@@ -225,7 +230,7 @@ def override(spark, sf_dir):
 @query()
 def multiday(spark, sf_dir):
     """Three days of one fire per station: each day's codes from the chain, its front from the day before."""
-    days = weather.chain(spark, sf_dir).where("day <= 3 and station % 5 = 0").select(F.col("station").alias("sim"), "day", "ffmc", "dmc", "dc", "wind")
+    days = weather.chain(spark, sf_dir).where("day <= 3").select(F.col("station").alias("sim"), "day", "ffmc", "dmc", "dc", "wind")
     days = cut(days)
     front, out = None, None
     for d in (1, 2, 3):

@@ -112,7 +112,7 @@ def facility_normalise(spark, sf_dir):
 def facility_antijoin(spark, sf_dir):
     """Facilities that aren't placed yet."""
     x = FA.normalised(FA.tagged(spark, sf_dir)).select("osm_id", "symbol")
-    placed = V.assets(spark, sf_dir).where("asset % 3 = 0").select(F.concat(F.lit("node/"), F.col("asset").cast("string")).alias("osm_id"))
+    placed = V.assets(spark, sf_dir).where("layer = 'BUILDING'").select(F.concat(F.lit("node/"), F.col("asset").cast("string")).alias("osm_id"))
     return x.join(placed, "osm_id", "left_anti").groupBy("symbol").agg(F.count("*").alias("n"))
 
 

@@ -27,9 +27,9 @@ VIEWS = {
   0.8::DOUBLE + 0.1::DOUBLE * n_regionkey AS ros_mult, 0.9::DOUBLE + 0.1::DOUBLE * n_regionkey AS int_mult, 1.0::DOUBLE + 0.25::DOUBLE * n_regionkey AS ember_mult FROM nation""",
     "v_cell": f"""SELECT CAST(p_partkey // 40 AS INTEGER) AS row, CAST(p_partkey % 40 AS INTEGER) AS col, {_list(RASTER_CODES)}[CAST(p_size % 9 + 1 AS INTEGER)] AS code, p_retailprice AS elev FROM part""",
     "v_frame": f"""SELECT station AS sim, CAST(day - 1 AS INTEGER) AS idx, (day - 1) * 0.5::DOUBLE AS t, wind * 0.5::DOUBLE AS ros, value * 20.0::DOUBLE AS hfi, {_KINDS}[CAST(floor(value) AS BIGINT) % 4 + 1] AS fire_type,
-  53.55::DOUBLE + CAST(station AS DOUBLE) * 0.0001::DOUBLE AS lat, -113.5::DOUBLE AS lng, 30.0::DOUBLE + 40.0::DOUBLE * (day - 1) AS radius, event_id FROM v_obs""",
+  53.55::DOUBLE + CAST(station AS DOUBLE) * 0.0001::DOUBLE AS lat, -113.5::DOUBLE AS lng, 30.0::DOUBLE + 40.0::DOUBLE * (day - 1) AS radius, event_id, kind FROM v_obs""",
     "v_spot": """SELECT sim, idx, t, 53.5::DOUBLE + CAST(event_id * 17 % 50 AS DOUBLE) / 1000.0::DOUBLE AS lat, -113.5::DOUBLE + CAST(event_id * 23 % 40 AS DOUBLE) / 1000.0::DOUBLE AS lng, lat AS src_lat, lng AS src_lng,
-  10.0::DOUBLE + CAST(event_id * 41 % 900 AS DOUBLE) AS distance, hfi FROM v_frame WHERE event_id % 5 = 0""",
+  10.0::DOUBLE + CAST(event_id * 41 % 900 AS DOUBLE) AS distance, hfi FROM v_frame WHERE kind = 'error'""",
     "v_prob": "SELECT row, col, CAST(CAST(floor(elev * 10) AS BIGINT) % 101 AS DOUBLE) / 100.0::DOUBLE AS p FROM v_cell",
     "fuels": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" for x in f) + ")" for f in FUELS) + ") AS f(fuel, fuel_group, a, b, c, q, bui0, cbh, cfl, sfc, cbd)",
     "codes": "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {k}, '{v}')" for s, m in SCHEMES.items() for k, v in m.items()) + ") AS k(scheme, code, fuel)",

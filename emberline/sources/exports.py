@@ -23,6 +23,20 @@ def point(lat: Column, lng: Column, properties: Column) -> Column:
     return F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":['), number(lng), F.lit(","), number(lat), F.lit(']},"properties":'), properties, F.lit("}"))
 
 
+def cell(row: Column, col: Column, extent: tuple[float, float, float, float], rows: int, cols: int, p: Column) -> Column:
+    """The square of a grid cell with its probability; row 0 is in the north."""
+    lat0, lat1, lng0, lng1 = extent
+    north, west, dy, dx = lat1 - row * ((lat1 - lat0) / rows), lng0 + col * ((lng1 - lng0) / cols), (lat1 - lat0) / rows, (lng1 - lng0) / cols
+    ring = F.array(*[F.struct((north - dy * a).alias("lat"), (west + dx * b).alias("lng")) for a, b in ((0, 0), (0, 1), (1, 1), (1, 0))])
+    return G.geojson(ring, F.to_json(F.struct(p.alias("p"))))
+
+
+def page(title: Column, rows: list[tuple[str, Column]]) -> Column:
+    """A heading and a table of names and values."""
+    lines = [F.concat(F.lit(f"<tr><td>{name}</td><td>"), xml_escaped(value), F.lit("</td></tr>")) for name, value in rows]
+    return F.concat(F.lit("<h1>"), xml_escaped(title), F.lit("</h1><table>"), *lines, F.lit("</table>"))
+
+
 def features(frames: DataFrame, spots: DataFrame) -> DataFrame:
     """(layer, sim, feature): the last perimeter and the ignition of each fire, and landings, each place once (the earliest)."""
     none = F.lit("{}")

@@ -67,5 +67,5 @@ s AS (SELECT *, CASE WHEN amenity = 'hospital' THEN 'hospital' WHEN amenity = 'c
 n AS (SELECT *, CASE symbol WHEN 'hospital' THEN 'ics206' WHEN 'medical_aid_station' THEN 'ics206' WHEN 'pharmacy' THEN 'ics206' WHEN 'fire_station' THEN 'ics204' WHEN 'police_station' THEN 'situation' ELSE 'evac' END AS layer,
   CASE symbol WHEN 'hospital' THEN 80 WHEN 'medical_aid_station' THEN 30 WHEN 'pharmacy' THEN 20 WHEN 'fire_station' THEN 60 WHEN 'police_station' THEN 50 WHEN 'reception_centre' THEN 20 ELSE 30 END AS km_most FROM s WHERE symbol IS NOT NULL AND name IS NOT NULL)"""
 NORMALISED_SQL = S.query("v_asset", f"{_TAGGED} SELECT osm_id, name, phone, address, symbol, layer, concat_ws(',', 'beds=' || beds, 'emergency=' || emergency) AS extra FROM n")
-PLACED_SQL = S.query("v_asset", f"{_TAGGED} SELECT symbol, count(*) AS n FROM n WHERE osm_id NOT IN (SELECT 'node/' || asset FROM v_asset WHERE asset % 3 = 0) GROUP BY symbol")
+PLACED_SQL = S.query("v_asset", f"{_TAGGED} SELECT symbol, count(*) AS n FROM n WHERE osm_id NOT IN (SELECT 'node/' || asset FROM v_asset WHERE layer = 'BUILDING') GROUP BY symbol")
 NEARBY_SQL = S.query("v_asset", f"{_TAGGED}, d AS (SELECT *, {S.haversine('53.55::DOUBLE', '-113.5::DOUBLE', 'lat', 'lng')} AS km FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(km, 6), osm_id) AS k FROM d WHERE km <= km_most) SELECT symbol, CAST(k AS INTEGER) AS k, osm_id, round(km, 5) AS km FROM k WHERE k <= 3")

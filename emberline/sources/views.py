@@ -80,14 +80,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = observations(spark, sf_dir)
     idx = (F.col("day") - 1).cast("int")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("surface", "surface_with_torching", "passive_crown", "active_crown")]), (F.floor(F.col("value")) % 4 + 1).cast("int"))
-    f = o.select(F.col("station").alias("sim"), idx.alias("idx"), (idx * 0.5).alias("t"), (F.col("wind") * 0.5).alias("ros"), (F.col("value") * 20.0).alias("hfi"), kind.alias("fire_type"), (53.55 + F.col("station").cast("double") * 0.0001).alias("lat"), F.lit(-113.5).alias("lng"), (30.0 + 40.0 * idx).alias("radius"), "event_id")
+    f = o.select(F.col("station").alias("sim"), idx.alias("idx"), (idx * 0.5).alias("t"), (F.col("wind") * 0.5).alias("ros"), (F.col("value") * 20.0).alias("hfi"), kind.alias("fire_type"), (53.55 + F.col("station").cast("double") * 0.0001).alias("lat"), F.lit(-113.5).alias("lng"), (30.0 + 40.0 * idx).alias("radius"), "event_id", "kind")
     return f.withColumn("perimeter", G.circle(F.col("lat"), F.col("lng"), F.col("radius")))
 
 
 def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ember landings of the frames: one from every fifth observation."""
+    """Ember landings of the frames: one from each observation of the kind ``error``."""
     k = F.col("event_id")
-    f = frames(spark, sf_dir).where(k % 5 == 0)
+    f = frames(spark, sf_dir).where("kind = 'error'")
     return f.select("sim", "idx", "t", (53.5 + _mod(k * 17, 50, 1000.0)).alias("lat"), (-113.5 + _mod(k * 23, 40, 1000.0)).alias("lng"), F.col("lat").alias("src_lat"), F.col("lng").alias("src_lng"), (10.0 + _mod(k * 41, 900)).alias("distance"), "hfi")
 
 
