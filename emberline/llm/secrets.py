@@ -20,8 +20,18 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: Strings that the battery looks at; they have letters and digits. Share of random strings among those called ordinary.
-CANDIDATE, ALPHA = r"[A-Za-z0-9+/_=-]{20,}", 0.05
+#: Alphabets whose longest runs the battery looks at: a run that mixes them, or has = inside, is tested in its parts.
+ALPHABETS = ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9")
+#: Least length of such a run; those under SHORT are judged among themselves. Share of random strings among those called ordinary.
+LEAST, SHORT, ALPHA = 12, 20, 0.05
+
+
+def candidate(alphabet: str) -> str:
+    """The runs of an alphabet, with padding at their end: of letters and digits, of mixed case inside, or as long capitals (base32)."""
+    c = f"[{alphabet}]"
+    return rf"(?<!{c})(?={c}*[A-Za-z])(?={c}*[0-9]|{c}*[a-z][A-Z]|{c}*[A-Z][A-Z][a-z]|[A-Z]{{{SHORT},}}(?!{c})){c}{{{LEAST},}}(?:=+(?![A-Za-z0-9+/_=-]))?"
+
+
 #: Encodings from the narrowest on: name, what a string of it looks like, its alphabet in order.
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
@@ -102,16 +112,18 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_assign, n_access, n_hex, base_sha256, spans), one row per row of df.
 
     spans: all spans as kind:start:stop (code points, end exclusive) by start, then kind, the battery's last as ``random``, joined by
-    commas; base_sha256: digest of the base spans in that form. The battery adds no span that overlaps a base one. A null or
-    empty text has none; rows that are equal have one result each.
+    commas; base_sha256: digest of the base spans in that form. The battery adds no span that overlaps a base one, or lies in a longer
+    one of its own. A null or empty text has none; rows that are equal have one result each.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).alias("doc"), F.xxhash64(key, text).alias("row"), t.alias("t"))
     kinds = [_spans(F.col("t"), i, *k) for i, k in enumerate(KINDS)]
     base = docs.select("doc", "row", *[k.alias(f"k{i}") for i, k in enumerate(kinds)])
-    found = docs.where(F.regexp_like("t", F.lit(CANDIDATE))).select("doc", "row", F.explode(_spans(F.col("t"), len(KINDS), "random", CANDIDATE, 0, 20)).alias("x"), "t")
-    strings = found.select("doc", "row", "x", F.substring(F.col("t"), F.col("x.start") + 1, F.col("x.stop") - F.col("x.start")).alias("s")).where(r"s rlike '[0-9]' and s rlike '[A-Za-z]'")
-    tested = battery(strings).withColumn("length_class", F.floor(F.log2(F.char_length("s")) * 2).cast("int")).withColumn("bin", F.least(F.lit(300), F.floor(-10 * F.log10(F.greatest("p", F.lit(1e-30))))).cast("int"))
+    parts = F.array_distinct(F.concat(*[_spans(F.col("t"), len(KINDS), "random", candidate(a), 0, LEAST) for a in ALPHABETS]))
+    found = docs.where(F.regexp_like("t", F.lit("[A-Za-z0-9+/_-]{%d}" % LEAST))).select("doc", "row", F.explode(parts).alias("x"), "t")
+    strings = found.select("doc", "row", "x", F.substring(F.col("t"), F.col("x.start") + 1, F.col("x.stop") - F.col("x.start")).alias("s"))
+    size = F.char_length("s")
+    tested = battery(strings).withColumn("length_class", F.floor(F.log2(size) * 2).cast("int") - F.when(size < SHORT, 10).otherwise(0)).withColumn("bin", F.least(F.lit(300), F.floor(-10 * F.log10(F.greatest("p", F.lit(1e-30))))).cast("int"))
     tested = cut(tested.select("doc", "row", "x", "length_class", "bin"))
     random = tested.join(F.broadcast(ordinary_bounds(tested)), "length_class", "left").where("bound is null or bin < bound")
     added = random.groupBy("doc", "row").agg(F.collect_set("x").alias("added")).toDF("doc2", "row2", "added")
@@ -119,5 +131,6 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     own = F.array_sort(F.concat(*[f"k{i}" for i in range(len(KINDS))]))
     all_ = all_.select("doc", *[F.size(f"k{i}").cast("long").alias(f"n_{k[0]}") for i, k in enumerate(KINDS)], own.alias("own"), "added")
     apart = F.filter("added", lambda x: ~F.exists("own", lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
+    apart = F.filter(apart, lambda x: ~F.exists(apart, lambda y: (y["start"] <= x["start"]) & (x["stop"] <= y["stop"]) & (y["stop"] - y["start"] > x["stop"] - x["start"])))
     every = F.when(F.col("added").isNull(), F.col("own")).otherwise(F.array_sort(F.concat("own", apart)))
     return all_.select(F.col("doc").alias(key), *[f"n_{k[0]}" for k in KINDS], F.sha2(_joined(F.col("own")), 256).alias("base_sha256"), _joined(every).alias("spans"))

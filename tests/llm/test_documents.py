@@ -201,6 +201,21 @@ def test_secrets_of_awkward_rows(spark):
     assert secrets.scan(table(spark, [])).count() == 0
 
 
+def test_secrets_beside_equals_signs_and_separators(spark):
+    rng = random.Random(11)
+    letters = secrets.ENCODINGS[5][2]
+    key = "".join(rng.choice(letters) for _ in range(40))
+    alnum = "".join(rng.choice(letters[:62]) for _ in range(36)) + "q7Rz"
+    only = "".join(rng.choice(letters[:52]) for _ in range(24))  # no digit
+    short = "x9Kq2ZvT7bLm"
+    texts = {1: f"AWS_SECRET_ACCESS_KEY={key} x", 2: f"AUTH={alnum}", 3: f"GET /a?b=1&sig={alnum}&c", 4: f"/x/my-key/{key}", 5: f"see {only} here", 6: f"see {short} here", 7: "Rechtsschutzversicherung internationally ACKNOWLEDGEMENT"}
+    spans = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in secrets.scan(table(spark, list(texts.items()))).collect()}
+    for k, value in ((1, key), (2, alnum), (3, alnum), (4, key), (5, only), (6, short)):
+        at = texts[k].index(value)
+        assert any(i < at + len(value) // 2 < j for i, j in spans[k]), (k, spans[k])
+    assert spans[7] == []
+
+
 def test_the_battery_tells_random_strings_from_ordinary_ones(spark):
     rng = random.Random(3)
     letters = secrets.ENCODINGS[5][2]
