@@ -87,8 +87,17 @@ y AS (SELECT scen, l, turn, (head + head / (l * l)) * 60.0::DOUBLE / 2.0::DOUBLE
 z AS (SELECT scen, i, turn, ahead + a * cos((i % 72) * {2 * math.pi / 72!r}::DOUBLE) AS u, a / l * sin((i % 72) * {2 * math.pi / 72!r}::DOUBLE) AS v FROM y)
 SELECT scen, CAST(i AS INTEGER) AS i, round(53.5::DOUBLE + (u * cos(turn) - v * sin(turn)) / 111320.0::DOUBLE, 6) AS lat, round(-113.5::DOUBLE + (u * sin(turn) + v * cos(turn)) / (111320.0::DOUBLE * cos(53.5::DOUBLE * {S.RAD})), 6) AS lng FROM z"""))
 def ellipse_points(spark, sf_dir):
-    """The ellipse after an hour, point by point, of every fiftieth scenario (an atlas of shapes)."""
-    x = V.scenarios(spark, sf_dir).where("scen % 50 = 0")
+    """The ellipse after an hour, point by point, of every fiftieth scenario (an atlas of shapes); ellipse_rings has them all."""
+    return _ellipses(V.scenarios(spark, sf_dir).where("scen % 50 = 0"))
+
+
+@query()
+def ellipse_rings(spark, sf_dir):
+    """The ellipse after an hour, point by point, of every scenario."""
+    return _ellipses(V.scenarios(spark, sf_dir))
+
+
+def _ellipses(x):
     ring = G.ellipse_ring(F.lit(53.5), F.lit(-113.5), F.col("dmc") / 10.0, G.length_to_breadth(F.col("wind")), F.col("dir"), F.lit(60.0))
     return x.select("scen", F.posexplode(ring).alias("i", "p")).select("scen", "i", r(F.col("p.lat")).alias("lat"), r(F.col("p.lng")).alias("lng"))
 

@@ -80,3 +80,21 @@ def test_hull():
     square = [(0, 0), (0, 2), (2, 2), (2, 0)]
     assert set(G.convex_hull([*square, (1, 1), (0, 1)])) == set(square)
     assert G.convex_hull([(1, 1), (1, 1)]) == [(1, 1)]
+
+
+def test_every_scenario_has_its_ellipse(spark):
+    """Rings of all scenarios, against the formula in plain numbers."""
+    from emberline.plans import behaviour
+    from emberline.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    scenarios = {r.scen: r for r in views.scenarios(spark, sf).select("scen", "dmc", "wind", "dir", G.length_to_breadth(F.col("wind")).alias("lbr")).collect()}
+    rows = behaviour.ellipse_rings(spark, sf).collect()
+    assert len(rows) == 73 * len(scenarios) and any(k % 50 for k in scenarios)
+    for r in rows:
+        s = scenarios[r.scen]
+        head, back = s.dmc / 10.0, s.dmc / 10.0 / s.lbr**2
+        a, ahead, t, turn = (head + back) * 30.0, (head - back) * 30.0, (r.i % 72) * 2 * math.pi / 72, math.radians(s.dir)
+        u, v = ahead + a * math.cos(t), a / s.lbr * math.sin(t)
+        assert r.lat == pytest.approx(53.5 + (u * math.cos(turn) - v * math.sin(turn)) / 111320.0, abs=2e-6)
+        assert r.lng == pytest.approx(-113.5 + (u * math.sin(turn) + v * math.cos(turn)) / (111320.0 * math.cos(math.radians(53.5))), abs=2e-6)
