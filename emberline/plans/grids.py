@@ -176,30 +176,55 @@ def ca_one_step(spark, sf_dir):
 _WEATHER = {"wind": 25.0, "dir": 270.0, "ffmc": 90.0, "dmc": 45.0, "dc": 300.0, "pc": 50.0, "cure": 60.0}
 
 
+HOURS, ITERATIONS = 4.0, 100
+
+
+def ground(spark, sf_dir):
+    """The fuel cells with their slope and aspect."""
+    return cut(raster.terrain(fuel_cells(spark, sf_dir), CELL_M).select("row", "col", "fuel", "slope", "aspect"))
+
+
+def ignitions(spark, sf_dir, cells):
+    """One ignition per station, in the cell that it stands in, under the weather of the case above."""
+    rows = F.broadcast(cells.agg((F.max("row") + 1).alias("rows")))
+    s = V.stations(spark, sf_dir).crossJoin(rows)
+    row = F.floor((V.LAT_MAX - F.col("slat")) / (V.LAT_MAX - V.LAT_MIN) * F.col("rows"))
+    col = F.floor((F.col("slng") - V.LNG_MIN) / (V.LNG_MAX - V.LNG_MIN) * V.COLS)
+    inside = [F.least(F.greatest(row, F.lit(0)), F.col("rows") - 1).cast("int").alias("row"), F.least(F.greatest(col, F.lit(0)), F.lit(V.COLS - 1)).cast("int").alias("col")]
+    return s.select("station", *inside, *[F.lit(v).alias(k) for k, v in _WEATHER.items()], F.lit(HOURS).alias("hours"))
+
+
 @query()
 def ca_frames(spark, sf_dir):
-    """Snapshots of cellular runs on the mosaic, one run per ignition."""
-    cells = raster.mosaic(spark, 80, 80, 7, (40, 40))
-    runs = spark.range(8).select(F.col("id").alias("sim"), (30 + F.col("id") * 3).cast("int").alias("row"), F.lit(40).alias("col"), *[F.lit(v).alias(k) for k, v in _WEATHER.items()], F.lit(2.0).alias("hours"), (F.col("id") + 1).alias("seed"))
+    """Snapshots of cellular runs on the fuel cells, one run per station."""
+    cells = ground(spark, sf_dir)
+    runs = ignitions(spark, sf_dir, cells).withColumnRenamed("station", "sim").withColumn("seed", F.col("sim") + 1)
     lit = cut(cellular.arrivals(montecarlo.with_rates(runs), cells, CELL_M, 1.0))
-    return cellular.frame_stats(lit, cells, 1.0, 30.0, CELL_M, 2.0)
+    return cellular.frame_stats(lit, cells, 1.0, 30.0, CELL_M, HOURS)
 
 
-def probability(spark, n: int = 24):
-    cells = raster.mosaic(spark, 80, 80, 7, (40, 40))
-    runs = montecarlo.iterations(spark, n, 42, 40, 40, CELL_M, _WEATHER, 2.0)
-    return montecarlo.burn_probability(runs, cells, CELL_M)
+def probability(spark, sf_dir):
+    """(station, row, col, p) of the cells that an iteration burns."""
+    cells = ground(spark, sf_dir)
+    every = ignitions(spark, sf_dir, cells).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(ITERATIONS - 1)))).withColumn("sim", F.col("station") * ITERATIONS + F.col("k"))
+    runs = montecarlo.moved(montecarlo.draws(every, "sim", 42), 42, CELL_M)
+    lit = cellular.arrivals(montecarlo.with_rates(runs), cells, CELL_M, 2.0)
+    p = lit.groupBy(F.floor(F.col("sim") / ITERATIONS).alias("station"), "row", "col").agg((F.count("*") / float(ITERATIONS)).alias("p"))
+    return p, cells
 
 
 @query()
 def burn_probability(spark, sf_dir):
-    """Share of the iterations in which each cell of the mosaic burns."""
-    return probability(spark)
+    """Share of each station's iterations that burn a cell, where any does."""
+    return probability(spark, sf_dir)[0]
 
 
 @query()
 def mc_summary(spark, sf_dir):
-    return probability(spark).agg(F.count_if(F.col("p") > 0).alias("cells"), r(100.0 * F.count_if(F.col("p") > 0) / F.count("*"), 4).alias("percent"), F.max("p").alias("top"))
+    p, cells = probability(spark, sf_dir)
+    n = F.broadcast(cells.agg(F.count("*").alias("n")))
+    x = p.groupBy("station").agg(F.count("*").alias("cells"), F.max("p").alias("top")).crossJoin(n)
+    return x.select("station", "cells", r(100.0 * F.col("cells") / F.col("n"), 4).alias("percent"), "top")
 
 
 def fires(spark, sf_dir, hours: float = 2.0):

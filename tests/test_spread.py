@@ -116,3 +116,18 @@ def test_large_rasters_are_refused():
     assert raster.factor_for(10.0, 50.0, 1000, 1000) == 5
     with pytest.raises(ValueError):
         raster.factor_for(50.0, 50.0, 20_000, 20_000)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_grid_queries_take_their_fires_from_the_tables(spark):
+    from emberline.plans import grids
+    from emberline.sources import views
+
+    cells = grids.ground(spark, SF)
+    assert cells.count() == views.cells(spark, SF).count() and cells.where("slope > 1").count() > 0
+    starts = grids.ignitions(spark, SF, cells).collect()
+    rows = cells.agg(F.max("row")).first()[0] + 1
+    assert len(starts) == views.stations(spark, SF).count() and all(0 <= s.row < rows and 0 <= s.col < 40 for s in starts)
+    assert grids.ITERATIONS == 100
