@@ -227,6 +227,11 @@ def mc_summary(spark, sf_dir):
     return x.select("station", "cells", r(100.0 * F.col("cells") / F.col("n"), 4).alias("percent"), "top")
 
 
+def fuel_grid(spark, sf_dir):
+    """The fuel cells, and the extent that they cover."""
+    return fuel_cells(spark, sf_dir).select("row", "col", "fuel"), EXTENT
+
+
 def fires(spark, sf_dir, hours: float = 2.0):
     """A fire beside each station, in a fuel and weather that follow from the station's number and reading."""
     k, fuel = F.col("station"), F.array(*[F.lit(c) for c in CODES])
@@ -239,8 +244,8 @@ def fires(spark, sf_dir, hours: float = 2.0):
 
 @query()
 def huygens_frames(spark, sf_dir):
-    """Frames of wavelet fires in one fuel each."""
-    x = huygens.frames(fires(spark, sf_dir))
+    """Frames of wavelet fires over the fuel cells, with their barriers and embers."""
+    x = huygens.frames(fires(spark, sf_dir), *fuel_grid(spark, sf_dir))
     return x.select("sim", "idx", "t", "n_fronts", "n_points", r("area_ha", 4), r("head_ros", 5), r("hfi", 3), "fire_type")
 
 
@@ -248,21 +253,26 @@ def huygens_frames(spark, sf_dir):
 def override(spark, sf_dir):
     """Fires that go on from an observed perimeter."""
     ring = G.circle(F.col("lat"), F.col("lng"), F.lit(200.0), 36)
-    x = huygens.frames(fires(spark, sf_dir, 1.0).withColumn("front", ring))
+    x = huygens.frames(fires(spark, sf_dir, 1.0).withColumn("front", ring), *fuel_grid(spark, sf_dir))
     return x.select("sim", "idx", "t", "n_points", r("area_ha", 4), r("hfi", 3), "fire_type")
 
 
+#: Days of a scenario at most, as in the reference.
+DAYS = 7
+
+
 @query()
 def multiday(spark, sf_dir):
-    """Three days of one fire per station: each day's codes from the chain, its front from the day before."""
-    days = weather.chain(spark, sf_dir).where("day <= 3").select(F.col("station").alias("sim"), "day", "ffmc", "dmc", "dc", "wind")
+    """Up to DAYS days of one fire per station, each of 24 hours: each day's codes from the chain, its front from the day before."""
+    grid = fuel_grid(spark, sf_dir)
+    days = weather.chain(spark, sf_dir).where(F.col("day") <= DAYS).select(F.col("station").alias("sim"), "day", "ffmc", "dmc", "dc", "wind")
     days = cut(days)
     front, out = None, None
-    for d in (1, 2, 3):
-        s = days.where(F.col("day") == d).select("sim", F.lit("D1").alias("fuel"), "wind", F.lit(270.0).alias("dir"), "ffmc", "dmc", "dc", F.lit(50.0).alias("pc"), F.lit(60.0).alias("cure"), F.lit(53.55).alias("lat"), F.lit(-113.5).alias("lng"), F.lit(6.0).alias("hours"), F.lit(2.0).alias("snapshot"))
+    for d in range(1, DAYS + 1):
+        s = days.where(F.col("day") == d).select("sim", F.lit("D1").alias("fuel"), "wind", F.lit(270.0).alias("dir"), "ffmc", "dmc", "dc", F.lit(50.0).alias("pc"), F.lit(60.0).alias("cure"), F.lit(53.55).alias("lat"), F.lit(-113.5).alias("lng"), F.lit(24.0).alias("hours"), F.lit(2.0).alias("snapshot"))
         if front is not None:
             s = s.join(front, "sim")
-        f = cut(huygens.frames(s))
+        f = cut(huygens.frames(s, *grid))
         front = f.groupBy("sim").agg(F.max_by("perimeter", "idx").alias("front"))
         shown = f.where("t > 0") if d > 1 else f
         part = shown.select("sim", F.lit(d).alias("day"), F.round(F.col("t") + 24.0 * (d - 1), 3).alias("t"), r("area_ha", 4), "fire_type")

@@ -131,3 +131,20 @@ def test_grid_queries_take_their_fires_from_the_tables(spark):
     rows = cells.agg(F.max("row")).first()[0] + 1
     assert len(starts) == views.stations(spark, SF).count() and all(0 <= s.row < rows and 0 <= s.col < 40 for s in starts)
     assert grids.ITERATIONS == 100
+
+
+def test_wavelet_queries_pass_the_fuel_grid_and_whole_days(spark, monkeypatch):
+    from emberline.plans import grids
+
+    calls, real = [], huygens.frames
+
+    def kept(s, *grid):
+        calls.append((s.select("hours").distinct().collect(), grid))
+        return real(s.limit(0), *grid)
+
+    monkeypatch.setattr(grids.huygens, "frames", kept)
+    grids.huygens_frames(spark, SF)
+    grids.override(spark, SF)
+    grids.multiday(spark, SF)
+    assert len(calls) == 9 and all(len(g) == 2 and "fuel" in g[0].columns for _, g in calls)
+    assert [r.hours for r in calls[2][0]] == [24.0]
