@@ -173,3 +173,53 @@ def language_model(docs: list[tuple], rounds: int = 60) -> list[tuple]:
         score = sum(math.log10(weights[b][0] * two + weights[b][1] * one + weights[b][2] / (v + 1)) for b, two, one in estimates(t, whole))
         out.append((key, crc_mod(key, 7) == 2, len(t), sum(whole[0][w] > 0 for w in t), n, base, score))
     return out
+
+
+# --- 6: toxicity
+
+_LIKE = dict(zip(b"013457@", b"oieasta"))
+
+
+def _symbols(word: bytes) -> list[int]:
+    out = []
+    for c in word:
+        c = _LIKE.get(c, c | 32 if 65 <= c <= 90 else c)
+        if 97 <= c <= 122 or c >= 128:
+            out.append(c - 96 if c < 128 else 32 + c % 32)
+    return out
+
+
+def toxic_strings(text: str | None) -> list[tuple[list[int], int]]:
+    """(symbols, words) of the strings of a text; 31 marks the beginning of a word."""
+    raw, sentences, now, last = (text or "").encode(), [], [], 0
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+        if now and b"\n" in raw[last : m.start()]:
+            sentences.append(now)
+            now = []
+        now.append(_symbols(m[0]))
+        last = m.end()
+        if m[0][-1:] in (b".", b"!", b"?"):
+            sentences.append(now)
+            now = []
+    out = []
+    for words in [*sentences, now]:
+        words = [w for w in words if w]
+        for n in (1, 2, 3):
+            out += [(sum(([31, *w] for w in words[i : i + n]), []), n) for i in range(len(words) - n + 1)]
+        out += [(w[p : p + 24], 0) for w in words if len(w) > 24 for p in range(0, len(w) - 12, 12)]
+        for run in re.finditer("1{4,}", "".join("1" if len(w) == 1 else "0" for w in words)):
+            letters = [31] + [words[k][0] for k in range(*run.span())]
+            out += [(letters[p : p + 25], 0) for p in range(0, max(1, len(letters) - 12), 12)]
+    return out
+
+
+def toxic_margin(text: str | None, weights, bias: float) -> float:
+    """The largest margin of a text's strings, by all their three-symbol subsequences."""
+    best = -2.0
+    for x, words in toxic_strings(text):
+        if len(x) - max(words, 1) >= 4:
+            total = sum(0.6 ** (k - i - 2) * float(weights[(x[i] << 12) + (x[j] << 6) + x[k]]) for i in range(len(x)) for k in range(i + 2, min(i + 8, len(x))) for j in range(i + 1, k))
+            n = min(len(x), 4095)
+            norm = math.sqrt(sum(0.6 ** (2 * (far - 2)) * (far - 1) * max(n - far, 0) for far in range(2, 8)))
+            best = max(best, total / 2.0**40 / norm + bias)
+    return min(best, 1.0)

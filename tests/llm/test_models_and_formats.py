@@ -10,10 +10,12 @@ import re
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_documents import AWKWARD, PASSAGE, prose, same, table
 
 from emberline.llm import chat, pieces, queries, revisits, toxic
+from emberline.llm.common import flat_utf8
 
 SF, LARGER, LARGEST = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
@@ -72,6 +74,44 @@ def test_gapped_and_inserted_insults_score_high(spark):
     assert left.columns == table(spark, []).columns and {r.doc_id for r in left.collect()} == {k for k, v in out.items() if v == 0}
 
 
+def test_margins_are_those_of_a_plain_version():
+    rng = np.random.default_rng(3)
+    model = toxic.Model((rng.normal(size=1 << 18) * 2.0**38).astype(np.int64), 0.1)
+    texts = [t for _, t in AWKWARD] + ["i d i o t, x!  y z a b c d\nend. s t u p i d", "a" * 70 + " b", "gr-um.blor 5tup1d", "l\u00e0 v\u00e9rit\u00e9 \u4e2d\u6587 ok", " ".join("abcdefghij" * 5), "one two\nthree four. five"]
+    got = model.texts(*flat_utf8(pa.array(texts, pa.string())))
+    assert np.allclose(got, [brute.toxic_margin(t, model.table, model.bias) for t in texts], atol=1e-9)
+    some = [bytes(x) for x, _ in brute.toxic_strings("the quick brown fox idiot idi0t") if len(x) > 4]
+    kernel = toxic.Landmarks.of(some[:4]).kernel(some)
+    assert np.allclose(kernel[:4], kernel[:4].T, atol=1e-5) and (kernel > 0).any()
+
+
+def test_space_broken_and_phrase_insults(spark):
+    """Words that are harmless alone, and an insult broken into parts, told by windows of words."""
+    rng, rows, labels = random.Random(6), [], []
+    for k in range(480):
+        w = prose(k, 40).split()
+        if k % 3 == 0:
+            w[9:9] = rng.choice((["silly", "goose"], ["gro", "belak"]))
+        else:
+            w[9:9] = [rng.choice(("silly", "goose", "gro", "belak"))]
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(k % 3 == 0)))
+    hard = [(1000, "what a silly goose that is"), (1001, "some gro belak thing"), (1002, "the silly old man there"), (1003, " ".join([*prose(5000, 9).split(), "goose", *prose(5001, 9).split()]))]
+    out = {r.doc_id: r.predicted for r in toxic.toxicity(table(spark, rows + hard), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [out[k] for k, _ in hard] == [1, 1, 0, 0]
+
+
+def test_copies_of_a_toxic_text_count_once(spark):
+    """Many copies of one toxic text, near and exact, don't make its harmless words insults."""
+    base = prose(99, 60).split()
+    rows = [(k, prose(k, 40)) for k in range(300)]
+    rows += [(1000 + k, " ".join(base if k % 2 else [*base[: k % 50], "x" * (k % 7 + 1), *base[k % 50 :]])) for k in range(120)]
+    labels = [(k, int(k >= 1000)) for k, _ in rows]
+    assert toxic.sample(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).where("toxic = 1").count() <= 3
+    out = toxic.toxicity(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert out.where("predicted = 1 and doc_id < 1000").count() == 0
+
+
 def test_toxicity_without_labels_of_both_kinds(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     one = spark.createDataFrame([(1, 1), (None, 0), (4, None), (5, 7)], "doc_id long, toxic int")
@@ -219,7 +259,8 @@ def test_the_pipeline_is_its_stages_one_after_the_other(spark, library):
 
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-    bad = {r.doc_id for r in queries.op6_toxicity(spark, SF).where("predicted = 1").collect()}
+    model = toxic.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    bad = {k for k, t in docs if model is not None and model.scores(np.array([brute.toxic_margin(t, model.table, model.bias)]))[0] >= 0.3}
     expected = by_stages(spark, library, docs, bad, items)
     assert 0 < len(expected) < len(docs)
     same(corpus_pipeline.run(spark, SF), expected)
