@@ -286,7 +286,7 @@ def test_scores_are_those_of_plain_counts(spark, real):
 
 def test_scores_of_awkward_rows(spark, monkeypatch):
     close(lm.score(table(spark, AWKWARD)).collect(), brute.language_model(AWKWARD))
-    monkeypatch.setattr(lm, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 8)
     monkeypatch.setattr(lm, "BLOCKS_A_RANGE", 1)
     close(lm.score(table(spark, AWKWARD)).collect(), brute.language_model(AWKWARD))
     assert lm.score(table(spark, [])).count() == 0
