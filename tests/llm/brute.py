@@ -223,3 +223,23 @@ def toxic_margin(text: str | None, weights, bias: float) -> float:
             norm = math.sqrt(sum(0.6 ** (2 * (far - 2)) * (far - 1) * max(n - far, 0) for far in range(2, 8)))
             best = max(best, total / 2.0**40 / norm + bias)
     return min(best, 1.0)
+
+
+# --- 4: the battery
+
+
+def distance(x: str, alphabet: str) -> float:
+    """The sum of the deviations of the three tests."""
+    c = [alphabet.index(y) + 1 for y in x.rstrip("=") if y in alphabet]
+    n, k = len(c), len(alphabet)
+    classes = min(max(n // 3, 2), k)
+    counts = Counter((y - 1) * classes // k for y in c)
+    chi, free = sum(v * v for v in counts.values()) * classes / n - n, classes - 1
+    z_chi = ((max(chi, 0) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    side = [y > k / 2 for y in c]
+    high, runs = sum(side), 1 + sum(a != b for a, b in zip(side, side[1:]))
+    mean = 1 + 2 * high * (n - high) / n
+    few_runs = (mean - runs) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 0.25))
+    off = [y - (k + 1) / 2 for y in c]
+    z_serial = abs(sum(a * b for a, b in zip(off, off[1:])) / max(sum(a * a for a in off), 1e-9)) * math.sqrt(n)
+    return z_chi + few_runs + z_serial

@@ -221,10 +221,42 @@ def test_the_battery_tells_random_strings_from_ordinary_ones(spark):
     letters = secrets.ENCODINGS[5][2]
     drawn = ["".join(rng.choice(letters) for _ in range(64)) for _ in range(200)]
     ordinary = ["".join(rng.choice(("alpha1", "beta", "gamma2", "delta")) for _ in range(16))[:64] for _ in range(200)]
-    p = {r.s: r.p for r in secrets.battery(spark.createDataFrame([(x,) for x in drawn + ordinary], "s string")).collect()}
+    p = {r.s: r.p for r in secrets.battery(secrets.inferred(spark.createDataFrame([(x,) for x in drawn + ordinary], "s string"))).collect()}
     assert sum(p[x] < 0.001 for x in drawn) <= 2 and sum(p[x] < 0.001 for x in ordinary) >= 190
 
 
+def test_distances_are_those_of_a_plain_version(spark):
+    rng = random.Random(8)
+    letters = secrets.ENCODINGS[5][2]
+    some = ["".join(rng.choice(letters[:m]) for _ in range(n)) for n in (12, 13, 20, 47, 90) for m in (4, 26, 52, 64)] + ["aaaaaaaaaaaa", "AbCdEf0123456789==", "under_score-and-minus_1"]
+    alphabet = {n: a for n, _, a in secrets.ENCODINGS}
+    for r in secrets.battery(secrets.inferred(spark.createDataFrame([(x,) for x in some], "s string"))).collect():
+        assert r.distance == pytest.approx(brute.distance(r.s, alphabet[r.encoding]), abs=1e-6), r
+
+
+def test_random_keys_are_reported_and_ordinary_names_are_not(spark):
+    """Unnamed keys and ordinary identifiers planted over a whole table: most keys are found, and few of what is reported is ordinary."""
+    rng, letters = random.Random(12), secrets.ENCODINGS[5][2]
+    rows = [tuple(r) for r in spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text").collect()]
+    planted, out = {}, []
+    names = "night river stone field market garden winter bridge forest letter summer window village mountain harbour journey".split()
+    for k, (key, text) in enumerate(rows):
+        if k % 5 == 0 and text:
+            random_ = k % 2 == 0
+            x = "".join(rng.choice(letters[:62]) for _ in range(rng.choice((24, 32, 40, 64)))) if random_ else "".join(w.title() if k % 3 else w for w in rng.sample(names, 5)) + str(rng.randrange(1990, 2030))
+            planted[key] = (random_, text.count(""), x)
+            text += rng.choice((f" {x} ", f"\nsession={x}", f" v/{x}-x", f" ({x})"))
+        out.append((key, text))
+    got = {r.doc_id: r.spans for r in secrets.scan(table(spark, out)).collect()}
+    hits, false, keys = 0, 0, 0
+    for key, (random_, at, x) in planted.items():
+        found = any(s.startswith("random:") and int(s.split(":")[1]) < at + len(x) // 2 + 10 and int(s.split(":")[2]) > at + len(x) // 2 for s in got[key].split(","))
+        keys, hits, false = keys + random_, hits + (random_ and found), false + (not random_ and found)
+    assert keys == 100 and hits >= 95 and false <= 5
+    others = sum(s.startswith("random:") for key, spans in got.items() if key not in planted for s in spans.split(","))
+    assert others <= 5
+
+
 # --- 5
 
 
