@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberline.llm.common import cut, flat_utf8, mix, span_hashes, steps, words
+from emberline.llm.common import cut, flat_utf8, free_name, mix, span_hashes, steps, words
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
@@ -215,7 +216,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _components_of(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(__key, n, component) of every id."""
+    """(key, n, component) of every id; keys are integers."""
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     known = docs.where("key is not null")
     every = cut(sketch(known, size))
@@ -243,7 +244,17 @@ def _components_of(df: DataFrame, key: str, text: str, size: int, percent: int)
     more = _verified(rest, leads, known, percent, size)
     labels = components(cut(links.union(more)))
     named = cut(classes.join(labels.toDF("class", "label"), "class", "left").select("n", "f1", "f2", F.coalesce("label", "class").alias("component")))
-    return one.join(named, ["n", "f1", "f2"], "left").select(F.col("key").alias("__key"), "n", F.coalesce("component", "key").alias("component"))
+    return one.join(named, ["n", "f1", "f2"], "left").select("key", "n", F.coalesce("component", "key").alias("component"))
+
+
+def _placed(df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """(id, n, component) of every id, the component being its smallest id; ids that aren't integers go by a 64-bit hash meanwhile."""
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        return _components_of(df, key, text, size, percent).withColumnRenamed("key", "id")
+    some = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null").withColumn("key", F.xxhash64("id"))
+    placed = cut(some.select("id", "key").distinct().join(_components_of(some, "key", "text", size, percent), "key"))
+    least = placed.groupBy("component").agg(F.min("id").alias("first"))
+    return placed.join(least, "component").select("id", "n", F.col("first").alias("component"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -253,17 +264,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     (ASCII white space between words, A-Z lower-cased); component_id is the smallest id reachable over links, and the
     document of that id is kept. With fewer words than size the whole sequence is one shingle; texts without words, and null
     ones, have empty sets and no links. Of rows with one id the one with the larger set (then fingerprint) stands for the id,
-    and rows without an id are left out of the search: each is a component of its own, with a null component_id, and kept.
+    and rows without an id are left out of the search: each is a component of its own, with a null component_id, and kept. Ids may be
+    numbers or texts. A very long text counts whole; columns of df besides key and text aren't read, whatever their names.
     A pair at the threshold shares a band with a probability of 1 - 1.2e-7.
     """
-    out = df.select(key, F.col(key).cast("long").alias("__key")).join(_components_of(df, key, text, size, percent), "__key", "left")
-    return out.select(key, F.coalesce("n", F.lit(0)).alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("__key"), F.lit(True)).alias("kept"))
+    out = df.select(F.col(key).alias("id")).join(_placed(df, key, text, size, percent), "id", "left")
+    return out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df that near_duplicates() keeps."""
-    gone = _components_of(df, key, text, size, percent).where("component != __key").select("__key")
-    return df.withColumn("__key", F.col(key).cast("long")).join(gone, "__key", "left_anti").drop("__key")
+    gone, name = _placed(df, key, text, size, percent).where("component != id"), free_name(df, "gone")
+    return df.join(gone.select(F.col("id").alias(name)), F.col(key) == F.col(name), "left_anti")
 
 
 ORACLE = r"""

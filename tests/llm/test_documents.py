@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from emberline.llm import leaks, lines, lm, near, quality, queries, secrets
@@ -106,11 +107,45 @@ def test_lines_of_an_empty_table(spark):
 
 
 def test_overfull_filters_only_add_suspects(spark, real, monkeypatch):
-    monkeypatch.setattr(lines, "FILTER_BITS", 1 << 19)
-    monkeypatch.setattr(lines._Filters, "has", staticmethod(lambda side, hashes: hashes == hashes))
+    monkeypatch.setattr(lines, "has", lambda segment, hashes: hashes == hashes)
     same(lines.dedup_line_digests(spark.createDataFrame(real, "doc_id long, text string")), digests(brute.without_repeats(real)))
 
 
+def test_lines_where_filters_stay_distributed(spark, real, monkeypatch):
+    monkeypatch.setattr(lines, "SENT_BYTES", 0)
+    monkeypatch.setattr(lines, "HELD_KEYS", 20)
+    monkeypatch.setattr(lines, "HOT", 3)
+    same(lines.dedup_line_digests(spark.createDataFrame(real, "doc_id long, text string")), digests(brute.without_repeats(real)))
+    same(lines.dedup_line_digests(table(spark, AWKWARD)), digests(brute.without_repeats(AWKWARD)))
+
+
+def test_few_keys_of_one_document_are_suspected_however_many_there_are():
+    """Ten times the keys in ten times the segments: the share of false suspects stays."""
+    rng = np.random.default_rng(1)
+    for n in (20_000, 200_000):
+        keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        n_segments = -(-n * lines.LINE_BITS // lines.SEGMENT_BITS)
+        segment, false = lines._segment(keys, n_segments), 0
+        for k in range(n_segments):
+            own, mine = lines.Segment(), keys[segment == k]
+            for part in np.array_split(mine, 5):
+                own.add(part, np.zeros(len(part), bool))
+            false += lines.has(own.twice, mine).sum()
+        assert false <= n / 80
+
+
+def test_text_ids_and_clashing_names(spark):
+    rows = [(f"d{k:02d}", t, 1, 2, 3, 4, 5) for k, t in ((3, f"{PASSAGE}\nmine alone"), (1, f"other words\n{PASSAGE}"), (2, PASSAGE), (9, "something else entirely here"))]
+    df = spark.createDataFrame(rows, "doc_id string, text string, key int, row int, drop int, gone int, id int")
+    kept = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
+    assert kept == {"d01": f"other words\n{PASSAGE}", "d02": "", "d03": "mine alone", "d09": "something else entirely here"}
+    assert lines.dedup_lines(df).columns == [*df.columns, "n_lines", "n_dropped"]
+    found = {r.doc_id: (r.component_id, r.kept) for r in near.near_duplicates(df).collect()}
+    assert found == {"d01": ("d01", True), "d02": ("d01", False), "d03": ("d01", False), "d09": ("d09", True)}
+    left = near.without_near_duplicates(df)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {"d01", "d09"}
+
+
 # --- 3
 
 
@@ -278,8 +313,6 @@ def test_rules_of_awkward_rows(spark):
 def test_viterbi_takes_the_best_sequence():
     import itertools
 
-    import numpy as np
-
     rng = np.random.default_rng(0)
     field = quality.Field(rng.normal(size=(3, 2)), rng.normal(size=(2, 2)))
     text = np.array([0, 0, 0, 0, 2, 3, 3])
