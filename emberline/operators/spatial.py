@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import geometry as G
+from emberline.plans.tables import cut
 
 
 def cell_of(lat: Column, lng: Column, extent: tuple[float, float, float, float], rows: int, cols: int) -> tuple[Column, Column, Column]:
@@ -19,43 +21,66 @@ def cell_of(lat: Column, lng: Column, extent: tuple[float, float, float, float],
     return row, col, inside
 
 
-def buckets(lat: Column, lng: Column, size: float) -> Column:
-    return F.struct(F.floor(lat / size).alias("i"), F.floor(lng / size).alias("j"))
-
-
-def points_in_areas(points: DataFrame, areas: DataFrame, size: float = 0.05) -> DataFrame:
+def points_in_areas(points: DataFrame, areas: DataFrame) -> DataFrame:
     """Each pair of a point (lat, lng) and an area (ring) that contains it.
 
-    Areas are spread over the buckets that their bounds touch, so that the join is on equal buckets; the ring is tested on what meets.
+    Areas are spread over the buckets that their bounds touch, at most six by six of them: buckets are powers of two wide, by the area's own extent,
+    so that small areas that crowd together don't share one bucket. Points look into the buckets of every width in use (at most WIDTHS); the
+    bounds, then the ring, are tested on what meets.
     """
     lat, lng = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lng"])
+    bounds = {"__lat0": F.array_min(lat), "__lat1": F.array_max(lat), "__lng0": F.array_min(lng), "__lng1": F.array_max(lng)}
+    extent = F.greatest(F.col("__lat1") - F.col("__lat0"), F.col("__lng1") - F.col("__lng0"), F.lit(1e-9))
+    level = F.least(F.greatest(F.ceil(F.log2(extent)) - 2, F.lit(WIDTHS[0])), F.lit(WIDTHS[1])).cast("int")
+    x = areas.withColumns(bounds).where("__lat0 is not null").withColumn("__level", level)
+    width = F.pow(F.lit(2.0), F.col("__level"))
 
-    def steps(c: Column) -> Column:
-        return F.sequence(F.floor(F.array_min(c) / size), F.floor(F.array_max(c) / size))
+    def steps(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
 
-    spread = areas.withColumn("__i", F.explode(steps(lat))).withColumn("__j", F.explode(steps(lng)))
-    own = points.withColumns({"__i": F.floor(F.col("lat") / size), "__j": F.floor(F.col("lng") / size)})
-    return own.join(spread, ["__i", "__j"]).where(G.contains(F.col("ring"), F.col("lat"), F.col("lng"))).drop("__i", "__j")
+    spread = x.withColumn("__i", steps("__lat0", "__lat1")).withColumn("__j", steps("__lng0", "__lng1"))
+    levels = F.broadcast(x.select("__level").distinct())  # fewer rows than WIDTHS spans
+    own = points.crossJoin(levels).withColumns({"__i": F.floor(F.col("lat") / width), "__j": F.floor(F.col("lng") / width)})
+    inside = F.col("lat").between(F.col("__lat0"), F.col("__lat1")) & F.col("lng").between(F.col("__lng0"), F.col("__lng1"))
+    met = own.join(spread, ["__level", "__i", "__j"]).where(inside).where(G.contains(F.col("ring"), F.col("lat"), F.col("lng")))
+    return met.drop("__level", "__i", "__j", *bounds)
 
 
-def nearest(points: DataFrame, places: DataFrame, key: str, place: str, size: float = 0.05) -> DataFrame:
-    """points (key, lat, lng) with the nearest of places (place, slat, slng) by haversine distance, ties by the smaller place, as place and km.
+#: Powers of two that buckets are wide, in degrees, at least and at most.
+WIDTHS = (-16, 6)
 
-    First each point looks into its own bucket and the eight about it; what it finds is certain if it is nearer than the bucket's
-    border. Other points look into buckets eight times as wide, and those still without an answer at all places.
+
+def nearest_k(points: DataFrame, places: DataFrame, key: str, place: str, k: int, distance: Column, sure: Callable[[float], Column], size: float = 0.05) -> DataFrame:
+    """(key, nth, place, dist): the k nearest of places (place, slat, slng) to each of points (key, lat, lng), ties by the smaller place.
+
+    Each point looks into its own bucket and the eight about it; what it finds is certain if the last is within ``sure(width)``, a distance that no place
+    outside comes under. The others look into buckets eight times as wide, and so on, until none is left or nine buckets are the whole globe.
     """
-    km = G.haversine_km(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
-    best = F.min_by(F.struct(place, "km"), F.struct("km", place)).alias("best")
-    done, left = None, points
-    for width in (size, size * 8):
-        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        b = buckets(F.col("lat"), F.col("lng"), width)
-        asking = left.withColumn("__n", F.explode(around)).withColumns({"__i": b["i"] + F.col("__n.i"), "__j": b["j"] + F.col("__n.j")}).drop("__n")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    done, left, width = None, points.select(key, "lat", "lng"), size
+    while True:
+        asking = left.withColumn("__n", F.explode(around)).withColumns({"__i": F.floor(F.col("lat") / width) + F.col("__n.i"), "__j": F.floor(F.col("lng") / width) + F.col("__n.j")}).drop("__n")
         own = places.withColumns({"__i": F.floor(F.col("slat") / width), "__j": F.floor(F.col("slng") / width)})
-        found = asking.join(own, ["__i", "__j"]).withColumn("km", km).groupBy(key).agg(best)
-        # no place outside the nine buckets is nearer than one bucket's width, which is least along the parallel
-        sure = left.join(found, key).where(F.col("best.km") <= width * math.pi / 180.0 * 6371.0 * F.least(F.lit(1.0), F.cos(F.radians(F.abs("lat") + width))) * 0.99)
-        done = sure if done is None else done.unionByName(sure)
-        left = left.join(sure.select(key), key, "left_anti")
-    rest = left.join(left.crossJoin(places).withColumn("km", km).groupBy(key).agg(best), key)
-    return done.unionByName(rest).select(*points.columns, F.col(f"best.{place}").alias(place), F.col("best.km").alias("km"))
+        found = asking.join(own, ["__i", "__j"]).withColumn("dist", distance)
+        found = found.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("dist", place))).where(F.col("nth") <= k)
+        last = width > 360.0
+        within = found.groupBy(key).agg(F.max("nth").alias("n"), F.max(F.when(F.col("nth") == k, F.col("dist"))).alias("dist"), F.any_value("lat").alias("lat"))
+        certain = cut(within.where(F.lit(True) if last else (F.col("n") == k) & (F.col("dist") <= sure(width))).select(key))
+        part = found.join(certain, key).select(key, "nth", place, "dist")
+        done = part if done is None else done.unionByName(part)
+        left = cut(left.join(certain, key, "left_anti"))
+        if last or left.isEmpty():
+            return done
+        width *= 8
+
+
+def nearest(points: DataFrame, places: DataFrame, key: str, place: str, size: float = 0.05) -> DataFrame:
+    """points (key, lat, lng) with the nearest of places (place, slat, slng) by haversine distance, ties by the smaller place, as place and km."""
+    km = G.haversine_km(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
+
+    def sure(width: float) -> Column:
+        """One bucket's width, which is least along the parallel."""
+        return width * math.pi / 180.0 * 6371.0 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + width))))) * 0.99
+
+    found = nearest_k(points, places.select(place, "slat", "slng"), key, place, 1, km, sure, size)
+    return points.join(found.select(key, place, F.col("dist").alias("km")), key).select(*points.columns, place, "km")

@@ -82,18 +82,18 @@ def ellipse_area(spark, sf_dir):
     return V.scenarios(spark, sf_dir).select("scen", r(G.ellipse_area_ha(F.col("dmc") / 10.0, G.length_to_breadth(F.col("wind")), F.lit(2.0)), 4).alias("area_ha"))
 
 
-@query(S.query("v_scen", f"""WITH x AS (SELECT scen, dmc / 10.0::DOUBLE AS head, {S.lbr('wind')} AS l, dir * {S.RAD} AS turn FROM v_scen WHERE scen % 50 = 0),
+@query(S.query("v_scen", f"""WITH x AS (SELECT scen, dmc / 10.0::DOUBLE AS head, {S.lbr('wind')} AS l, dir * {S.RAD} AS turn FROM v_scen),
 y AS (SELECT scen, l, turn, (head + head / (l * l)) * 60.0::DOUBLE / 2.0::DOUBLE AS a, (head - head / (l * l)) * 60.0::DOUBLE / 2.0::DOUBLE AS ahead, unnest(range(0, 73)) AS i FROM x),
 z AS (SELECT scen, i, turn, ahead + a * cos((i % 72) * {2 * math.pi / 72!r}::DOUBLE) AS u, a / l * sin((i % 72) * {2 * math.pi / 72!r}::DOUBLE) AS v FROM y)
 SELECT scen, CAST(i AS INTEGER) AS i, round(53.5::DOUBLE + (u * cos(turn) - v * sin(turn)) / 111320.0::DOUBLE, 6) AS lat, round(-113.5::DOUBLE + (u * sin(turn) + v * cos(turn)) / (111320.0::DOUBLE * cos(53.5::DOUBLE * {S.RAD})), 6) AS lng FROM z"""))
 def ellipse_points(spark, sf_dir):
-    """The ellipse after an hour, point by point, of every fiftieth scenario (an atlas of shapes); ellipse_rings has them all."""
-    return _ellipses(V.scenarios(spark, sf_dir).where("scen % 50 = 0"))
+    """The ellipse after an hour, point by point, of every scenario."""
+    return _ellipses(V.scenarios(spark, sf_dir))
 
 
 @query()
 def ellipse_rings(spark, sf_dir):
-    """The ellipse after an hour, point by point, of every scenario."""
+    """The same under its other name."""
     return _ellipses(V.scenarios(spark, sf_dir))
 
 

@@ -126,7 +126,7 @@ def burn_area_stats(spark, sf_dir):
 def buildings_at_risk(spark, sf_dir):
     """Buildings inside each frame's perimeter."""
     f = V.frames(spark, sf_dir).select("sim", "idx", F.col("perimeter").alias("ring"))
-    return spatial.points_in_areas(communities(spark, sf_dir), f, 0.005).groupBy("sim", "idx").agg(F.count("*").alias("n"))
+    return spatial.points_in_areas(communities(spark, sf_dir), f).groupBy("sim", "idx").agg(F.count("*").alias("n"))
 
 
 _STATS = f"""{_AREA}, sp AS (SELECT sim, count(*) AS spot_count, max(distance) AS max_spot_m FROM v_spot GROUP BY sim),

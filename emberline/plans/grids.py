@@ -71,7 +71,7 @@ def wui_modifiers(spark, sf_dir):
     m = _middles(V.cells(spark, sf_dir).select("row", "col"))
     z = V.zones(spark, sf_dir)
     met = spatial.points_in_areas(m, z.withColumn("ring", V.zone_ring()).select("zone", "ring")).groupBy("row", "col").agg(F.min("zone").alias("zone"))
-    x = m.join(met, ["row", "col"], "left").join(F.broadcast(z), "zone", "left")
+    x = m.join(met, ["row", "col"], "left").join(z, "zone", "left")
     return x.select("row", "col", F.coalesce("zone", F.lit(-1)).alias("zone"), r(F.coalesce("ros_mult", F.lit(1.0))).alias("ros_mult"), r(F.coalesce("ember_mult", F.lit(1.0))).alias("ember_mult"))
 
 
@@ -95,7 +95,7 @@ def env_mask(spark, sf_dir):
 @query(S.query("v_cell v_zone codes", f"{_FUEL}, {_MASK} SELECT coalesce(fuel, 'non-fuel') AS fuel, count(*) AS n, count(mask.row) AS masked FROM g LEFT JOIN mask ON g.row = mask.row AND g.col = mask.col GROUP BY 1"))
 def mask_apply(spark, sf_dir):
     m = barriers(spark, sf_dir).withColumn("masked", F.lit(1))
-    x = fuel_cells(spark, sf_dir).join(F.broadcast(m), ["row", "col"], "left")
+    x = fuel_cells(spark, sf_dir).join(m, ["row", "col"], "left")
     return x.groupBy(F.coalesce("fuel", F.lit("non-fuel")).alias("fuel")).agg(F.count("*").alias("n"), F.count("masked").alias("masked"))
 
 

@@ -54,12 +54,16 @@ def weather_resolve(spark, sf_dir):
 @query(S.query("v_asset v_zone", """WITH d AS (SELECT asset, zone, pow(lat - lat0 - 0.05::DOUBLE, 2) + pow(lng - lng0 - 0.06::DOUBLE, 2) AS d2 FROM v_asset CROSS JOIN v_zone),
 k AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY round(d2, 12), zone) AS k FROM d) SELECT asset, CAST(k AS INTEGER) AS k, zone FROM k WHERE k <= 4"""))
 def knn_zones(spark, sf_dir):
-    """The four zones with the nearest middles, in plain degrees. There are few zones, and each asset compares itself with all."""
-    a, z = V.assets(spark, sf_dir).select("asset", "lat", "lng"), V.zones(spark, sf_dir).select("zone", "lat0", "lng0")
+    """The four zones with the nearest middles, in plain degrees."""
+    a = V.assets(spark, sf_dir).select("asset", "lat", "lng")
+    return _nearest_zones(a, V.zones(spark, sf_dir), 4).select("asset", F.col("nth").alias("k"), "zone")
+
+
+def _nearest_zones(points, zones, k):
+    """(asset, nth, zone): the zones with the nearest middles; squares of degrees count, rounded as the case asks."""
+    middles = zones.select("zone", "lat0", "lng0", (F.col("lat0") + 0.05).alias("slat"), (F.col("lng0") + 0.06).alias("slng"))
     d2 = F.round(F.pow(F.col("lat") - F.col("lat0") - 0.05, F.lit(2)) + F.pow(F.col("lng") - F.col("lng0") - 0.06, F.lit(2)), 12)
-    every = a.crossJoin(F.broadcast(z)).select("asset", F.struct(d2.alias("d2"), "zone").alias("x"))
-    near = every.groupBy("asset").agg(F.slice(F.sort_array(F.collect_list("x")), 1, 4).alias("near"))
-    return near.select("asset", F.posexplode("near.zone").alias("k", "zone")).select("asset", (F.col("k") + 1).alias("k"), "zone")
+    return spatial.nearest_k(points, middles, "asset", "zone", k, d2, lambda width: F.lit((0.99 * width) ** 2))
 
 
 _IN = "lat > lat0 AND lat <= lat0 + 0.1::DOUBLE AND lng >= lng0 AND lng < lng0 + 0.12::DOUBLE"
@@ -88,9 +92,7 @@ def zone_assign_fallback(spark, sf_dir):
     a = V.assets(spark, sf_dir).select("asset", (F.col("lat") * 1.002).alias("lat"), "lng")
     z = _zones(spark, sf_dir)
     inside = spatial.points_in_areas(a, z.select("zone", "ring")).groupBy("asset").agg(F.min("zone").alias("zone"))
-    rest = a.join(inside, "asset", "left_anti").crossJoin(F.broadcast(z.select("zone", "lat0", "lng0")))
-    d2 = F.round(F.pow(F.col("lat") - F.col("lat0") - 0.05, F.lit(2)) + F.pow(F.col("lng") - F.col("lng0") - 0.06, F.lit(2)), 12)
-    near = rest.groupBy("asset").agg(F.min_by("zone", F.struct(d2, "zone")).alias("zone"))
+    near = _nearest_zones(a.join(inside, "asset", "left_anti"), z, 1)
     return inside.select("asset", "zone", F.lit(True).alias("inside")).unionByName(near.select("asset", "zone", F.lit(False).alias("inside")))
 
 
