@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut
+from emberline.llm.common import cut, free_name
 
 WINDOW = 10
 #: Phrases or terms that are sent to every task at most; beyond, the join shuffles.
 SENT_ROWS = 200_000
+#: Parts that the rows of a term are dealt to where a join by term shuffles.
+SALT = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,6 +32,14 @@ def _few(df: DataFrame) -> bool:
     return df.limit(SENT_ROWS + 1).count() <= SENT_ROWS
 
 
+def _by_term(rows: DataFrame, own: list[str], terms: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with terms on ``term``. Few terms are sent to every task; beyond, rows of one term are dealt to SALT parts by their columns ``own``."""
+    if _few(terms):
+        return rows.join(F.broadcast(terms), "term", how)
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*own), F.lit(SALT)).cast("int"))
+    return dealt.join(terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["term", "salt"], how).drop("salt")
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df, marked to be sent to every task if it has few rows."""
     return F.broadcast(df) if _few(df) else df
@@ -56,18 +66,21 @@ def inverted_index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     wanted = terms.select("term")
     if _few(wanted):  # the neighbourhood is cut out of the text for what is found alone
         return tokens.join(F.broadcast(wanted), "term").select(posting)
-    return tokens.select(posting).join(wanted, "term")  # what shuffles is a neighbourhood a token, not a text a token
+    return _by_term(tokens.select(posting), ["doc", "row", "pos"], wanted).select(posting[:4] + ["at", "around"])  # what shuffles is a neighbourhood a token, not a text a token
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): how often each of the terms is in the documents; terms that aren't have no row."""
-    return docs.select(F.explode("words").alias("term")).join(_small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    found = docs.select(F.explode("words").alias("term"))
+    if _few(terms):
+        return found.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return found.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term")  # counted before they meet, so a common term is one row a task
 
 
 def ranked(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     """(id, phrase, order): of each phrase, if all its terms occur, the offsets (from 0) of its terms from the rarest on."""
     each = wanted.select("id", "phrase", F.posexplode("phrase").alias("offset", "term"))
-    known = each.join(counts, "term", "left").groupBy("id").agg(F.first("phrase").alias("phrase"), F.sort_array(F.collect_list(F.struct("n", "offset"))).alias("by"), F.min(F.col("n").isNotNull()).alias("all"))
+    known = _by_term(each, ["id", "offset"], cut(counts), "left").groupBy("id").agg(F.first("phrase").alias("phrase"), F.sort_array(F.collect_list(F.struct("n", "offset"))).alias("by"), F.min(F.col("n").isNotNull()).alias("all"))
     return known.where("all").select("id", "phrase", F.col("by.offset").alias("order"))
 
 
@@ -85,8 +98,7 @@ def phrase_matches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     second = F.try_element_at("around", begin + F.col("second")) == F.element_at("phrase", F.col("second") + 1)
     inside = (begin >= 1) & (begin + F.size("phrase") - 1 <= F.size("around"))
     whole = F.slice("around", F.greatest(begin, F.lit(1)), F.size("phrase")) == F.col("phrase")
-    p, q = index.alias("p"), _small(lookup).alias("q")
-    met = p.join(q, (F.col("p.term") == F.col("q.term")) & F.when(inside, second & whole).otherwise(False))
+    met = _by_term(index, ["doc", "row", "pos"], cut(lookup)).where(F.when(inside, second & whole).otherwise(False))
     return met.select("doc", "row", "id", (F.col("pos") - F.col("offset")).alias("start"), F.size("phrase").alias("n"))
 
 
@@ -100,7 +112,7 @@ def proximity_matches(docs: DataFrame, wanted: DataFrame, slop: int = 20) -> Dat
     lookup = plan.select("id", F.array_distinct("phrase").alias("phrase"), F.element_at("phrase", F.element_at("order", 1) + 1).alias("term"))
     index = cut(inverted_index(docs, lookup.select("term").distinct(), slop - 1))
     views = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("around") - slop + 1)), lambda i: F.size(F.array_except(F.col("phrase"), F.slice("around", i, slop))) == 0)
-    met = index.join(_small(lookup), "term").where(F.array_contains(views, True))
+    met = _by_term(index, ["doc", "row", "pos"], lookup).where(F.array_contains(views, True))
     return met.select("doc", "row", "id", (F.col("pos") - F.col("at") + 1).alias("start"), F.size("around").alias("n"))
 
 
@@ -118,9 +130,9 @@ def _matches(df: DataFrame, items: DataFrame, key: str, text: str, item_key: str
 def without_contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of df in whose text no benchmark window occurs."""
     _, met = _matches(df, items, key, text, item_key, item_text, window)
-    rows = df.withColumn("__row", F.xxhash64(key, text))
-    hit = met.select(F.col("doc").alias("__hit_doc"), F.col("row").alias("__hit_row")).distinct()
-    return rows.join(hit, F.col(key).eqNullSafe(F.col("__hit_doc")) & (F.col("__row") == F.col("__hit_row")), "left_anti").drop("__row")
+    doc, row = free_name(df, "hit_doc"), free_name(df, "hit_row")
+    hit = met.select(F.col("doc").alias(doc), F.col("row").alias(row)).distinct()
+    return df.join(hit, F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(key), F.col(text)) == F.col(row)), "left_anti")
 
 
 def contamination(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -128,7 +140,8 @@ def contamination(df: DataFrame, items: DataFrame, key: str = "doc_id", text: st
 
     n_hit: words inside any occurrence of a benchmark window; n_items: items with an occurring window; items_sha256: digest of
     their ids, sorted as strings and joined by commas. A null or empty text has no words; a row without an id is judged like any other.
-    Rows that are equal are one document with one result each. An empty benchmark hits nothing.
+    Rows that are equal are one document with one result each. An empty benchmark hits nothing. A very long text is read whole: its words
+    are one array. Columns of df besides key and text aren't read, whatever their names.
     """
     of_item, met = _matches(df, items, key, text, item_key, item_text, window)
     spans = met.groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("stop")))).alias("spans"))
