@@ -11,6 +11,7 @@ from emberline.operators import validation
 from emberline.plans import sql as S
 from emberline.plans.registry import query, r
 from emberline.sources import views as V
+from emberline.streaming import stations as T
 
 
 def _indices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,12 +126,26 @@ def fwi_summary(spark, sf_dir):
     return d.groupBy("station").agg(r(F.avg("fwi"), 5).alias("mean_fwi"), r(F.max("fwi")).alias("top_fwi"), F.count_if(F.col("fwi") >= 19).alias("high_days"))
 
 
-@query()
+@query(S.query("v_obs", f"{_CHAIN} SELECT station, day, round(ffmc, 5) AS ffmc, round(dmc, 5) AS dmc, round(dc, 5) AS dc FROM chain"))
 def fwi_stream(spark, sf_dir):
     """The chain as a stream: observations come in by files, each station's codes are kept as state."""
-    from emberline.streaming import stations as T
+    return T.replay(spark, V.observations(spark, sf_dir)).select("station", "day", *[r(c, 5) for c in ("ffmc", "dmc", "dc")])
 
-    return T.replay(spark, V.observations(spark, sf_dir))
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL '1 day', ts) AS day, user_id AS station, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2)
+SELECT * FROM w WHERE day + INTERVAL '1 day' <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '2 days' FROM events)""")
+def stream_daily_means(spark, sf_dir):
+    """Means by station and day from a stream, as far as the watermark, two days behind the latest report, has closed the days."""
+    e = V.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("station"), F.col("value").alias("temp"), F.col("value").alias("wind"))
+    x = T.through(spark, e, T.daily_means)
+    return x.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "station", "n", r("temp").alias("mean_value"))
+
+
+@query(S.query("v_frame", "SELECT DISTINCT sim, idx, round(t, 3) AS t FROM v_frame"))
+def stream_distinct_frames(spark, sf_dir):
+    """Frames from a stream in which a reconnecting reader gets every frame again."""
+    f = V.frames(spark, sf_dir).select("sim", "idx", F.round("t", 3).alias("t"), F.timestamp_seconds(1.7e9 + F.col("t") * 3600.0).alias("ts"))
+    return T.through(spark, f.unionAll(f), T.distinct_frames).select("sim", "idx", "t")
 
 
 @query("""SELECT time_bucket(INTERVAL '1 day', ts) AS day, user_id AS station, count(*) AS n, round(avg(value), 6) AS mean_value, round(max(value), 6) AS max_value FROM events GROUP BY 1, 2""")

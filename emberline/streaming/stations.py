@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -73,15 +73,17 @@ def distinct_frames(frames: DataFrame, late: str = "1 hour") -> DataFrame:
     return frames.withWatermark("ts", late).dropDuplicatesWithinWatermark(["sim", "idx"])
 
 
-def replay(spark: SparkSession, observations: DataFrame) -> DataFrame:
-    """The codes of a batch of observations, driven through the stream to its end."""
+def through(spark: SparkSession, rows: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of rows, changed, has written when it has come to its end. Rows and results lie in the shared folder."""
     from emberline.plans.tables import shared_folder
 
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    columns = ["station", F.col("day").cast("long").alias("day"), "temp", "rh", "wind", "rain", "month"]
-    source = observations.select(*columns)
-    source.write.parquet(f"{place}/in")
-    stream = spark.readStream.schema(source.schema).parquet(f"{place}/in")
-    q = daily_codes(stream).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(CODES).parquet(f"{place}/out")
+    rows.write.parquet(f"{place}/in")
+    out = change(spark.readStream.schema(rows.schema).parquet(f"{place}/in"))
+    out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/out")
+
+
+def replay(spark: SparkSession, observations: DataFrame) -> DataFrame:
+    """The codes of a batch of observations, driven through the stream to its end."""
+    return through(spark, observations.select("station", F.col("day").cast("long").alias("day"), "temp", "rh", "wind", "rain", "month"), daily_codes)
