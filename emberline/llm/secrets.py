@@ -67,20 +67,40 @@ def _starts(steps: Column) -> Column:
         add = lambda a, m: F.struct((a["at"] + m["gap"] + m["size"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + m["gap"])).alias("starts"))
         return F.aggregate(F.slice(steps, c * wide + 1, wide), F.struct(F.lit(0).alias("at"), none.alias("starts")), add)
 
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / wide).cast("int")), piece)
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(steps) - 1) / wide), F.lit(0)).cast("int")), piece)
     shift = lambda a, p: F.struct((a["at"] + p["at"]).alias("at"), F.concat(a["all"], F.array(F.transform(p["starts"], lambda x: x + a["at"]))).alias("all"))
     return F.flatten(F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<int>>)").alias("all")), shift)["all"])
 
 
 def _found(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """(span, s) of the leftmost non-overlapping matches whose group is long enough: the span in code points from 0, and the match."""
-    gaps, all_, part = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), 0), F.regexp_extract_all(text, F.lit(pattern), group)
+    gaps, all_ = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), 0)
+    part = F.regexp_extract_all(text, F.lit(pattern), group) if group else all_
     steps = F.transform(F.slice(gaps, 1, F.size(all_)), lambda g, i: F.struct(F.char_length(g).alias("gap"), F.char_length(F.get(all_, i)).alias("size"), F.char_length(F.get(part, i)).alias("part"), F.get(all_, i).alias("s")))
     walked = F.zip_with(steps, _starts(steps), lambda m, at: F.struct(F.struct(at.alias("start"), F.lit(rank).alias("rank"), (at + m["size"]).alias("stop"), F.lit(kind).alias("kind")).alias("span"), m["s"].alias("s"), m["part"].alias("part")))
     kept = F.transform(F.filter(walked, lambda x: x["part"] >= least), lambda x: F.struct(x["span"].alias("span"), x["s"].alias("s")))
     return F.when(F.regexp_like(text, F.lit(pattern)), kept).otherwise(F.expr(f"cast(array() as {_FOUND})"))
 
 
+#: The longest runs of all alphabets together, and what one must hold to have a candidate inside.
+RUN, MIXED = r"[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_=-]))?" % LEAST, "[0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Z]{%d}" % SHORT
+
+
+def _walk(docs: DataFrame, text: str) -> DataFrame:
+    """docs with ``runs``, (start, s) of the mixed runs of a text: where each begins, in code points, and the run itself."""
+    x = docs.withColumns({"gaps": F.split(text, RUN), "found": F.regexp_extract_all(text, F.lit(RUN), F.lit(0))})
+    x = x.withColumn("steps", F.transform("found", lambda s, i: F.struct(F.char_length(F.get("gaps", i)).alias("gap"), F.char_length(s).alias("size"), s.alias("s"))))
+    runs = F.zip_with("steps", _starts(F.col("steps")), lambda m, at: F.struct(at.alias("start"), m["s"].alias("s")))
+    return x.withColumn("runs", F.filter(runs, lambda r: F.regexp_like(r["s"], F.lit(MIXED)))).drop("gaps", "found", "steps")
+
+
+def _parts(run: Column) -> Column:
+    """(span, s) of the candidates of each alphabet inside a run."""
+    inside = F.concat(*[_found(run["s"], len(KINDS), "random", candidate(a), 0, LEAST) for a in ALPHABETS])
+    moved = lambda p: F.struct((p["span"]["start"] + run["start"]).alias("start"), p["span"]["rank"].alias("rank"), (p["span"]["stop"] + run["start"]).alias("stop"), p["span"]["kind"].alias("kind"))
+    return F.transform(inside, lambda p: F.struct(moved(p).alias("span"), p["s"].alias("s")))
+
+
 def _spans(*kind) -> Column:
     return F.transform(_found(*kind), lambda x: x["span"])
 
@@ -185,11 +205,10 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     docs = df.select(F.col(key).alias("doc"), F.xxhash64(key, text).alias("row"), t.alias("t"))
     kinds = [_spans(F.col("t"), i, *k) for i, k in enumerate(KINDS)]
     base = docs.select("doc", "row", *[k.alias(f"k{i}") for i, k in enumerate(kinds)])
-    parts = F.array_distinct(F.concat(*[_found(F.col("t"), len(KINDS), "random", candidate(a), 0, LEAST) for a in ALPHABETS]))
     letters = F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}"), F.lit(0))
     words = F.slice(letters, 1 + F.pmod("row", F.greatest(F.size(letters) - OWN_WORDS, F.lit(1))).cast("int"), OWN_WORDS)
-    some = docs.where(F.regexp_like("t", F.lit("[A-Za-z0-9+/_-]{%d}" % LEAST))).withColumn("parts", parts).where(F.size("parts") > 0)
-    found = some.select("doc", "row", words.alias("words"), F.explode("parts").alias("part")).select("doc", "row", "words", F.col("part.span").alias("x"), F.col("part.s").alias("s"))
+    mixed = _walk(docs.where(F.regexp_like("t", F.lit(RUN))), "t").where(F.size("runs") > 0).select("doc", "row", words.alias("words"), F.explode("runs").alias("run"))
+    found = mixed.select("doc", "row", "words", F.explode(F.array_distinct(_parts(F.col("run")))).alias("part")).select("doc", "row", "words", F.col("part.span").alias("x"), F.col("part.s").alias("s"))
     runs = cut(inferred(found).withColumn("length_class", _length_class("s")))
     tested = battery(runs.drop("words")).select("doc", "row", "x", "encoding", "length_class", "p", "distance")
     ordinary = battery(decoys(runs)).withColumn("length_class", _length_class("s")).select("encoding", "length_class", "distance")
