@@ -196,10 +196,10 @@ def ignitions(spark, sf_dir, cells):
 
 @query()
 def ca_frames(spark, sf_dir):
-    """Snapshots of cellular runs on the fuel cells, one run per station."""
+    """Snapshots of cellular runs on the fuel cells with terrain and embers, one run per station."""
     cells = ground(spark, sf_dir)
     runs = ignitions(spark, sf_dir, cells).withColumnRenamed("station", "sim").withColumn("seed", F.col("sim") + 1)
-    lit = cut(cellular.arrivals(montecarlo.with_rates(runs), cells, CELL_M, 1.0))
+    lit = cut(cellular.arrivals(montecarlo.with_rates(runs), cells, CELL_M, 1.0, embers=True))
     return cellular.frame_stats(lit, cells, 1.0, 30.0, CELL_M, HOURS)
 
 

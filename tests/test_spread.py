@@ -148,3 +148,21 @@ def test_wavelet_queries_pass_the_fuel_grid_and_whole_days(spark, monkeypatch):
     grids.multiday(spark, SF)
     assert len(calls) == 9 and all(len(g) == 2 and "fuel" in g[0].columns for _, g in calls)
     assert calls[2][0].first().hours == 24.0
+
+
+def test_runs_together_are_as_alone_and_embers_jump_barriers():
+    rng = np.random.default_rng(4)
+    fuel = rng.integers(0, 3, (40, 60)).astype(np.int8)
+    fuel[:, 30:33] = -1  # no fuel: only embers cross
+    n = 6
+    ros, fi = rng.uniform(5, 30, (n, 3)), rng.uniform(6000, 30000, (n, 3))
+    start = np.stack([rng.integers(5, 35, n), rng.integers(20, 29, n)], 1)
+    one = (np.full(n, 2.0), np.full(n, 90.0), start, 20.0, 1.0, np.full(n, 90.0), np.arange(n) * 1000003 + 7)
+    for wind in (None, np.full(n, 40.0)):
+        together = cellular.run_many(fuel, ros, fi, *one, wind=wind)
+        for k in range(n):
+            alone = cellular.run_many(fuel, ros[k : k + 1], fi[k : k + 1], *(x[k : k + 1] if isinstance(x, np.ndarray) else x for x in one), wind=None if wind is None else wind[k : k + 1])
+            assert np.array_equal(alone[:, 1:], together[together[:, 0] == k][:, 1:])
+        assert (together[:, 2] > 32).any() == (wind is not None)
+        places = together[:, 1:3].astype(int)
+        assert (fuel[places[:, 0], places[:, 1]] >= 0).all() and len(np.unique(together[:, :3], axis=0)) == len(together)
