@@ -36,7 +36,8 @@ def windows(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: st
 
     loss: array of (start, length) of the targets in code points of formatted, start from 0. A null text or role is empty; turns are
     taken by turn, then role and text, with null turns first, and equal rows stay turns of their own. A span may exceed the budget by the part of
-    its first turn that began in the cell before. Rows without a key are one conversation.
+    its first turn that began in the cell before, and by what the window repeats. Rows without a key are one conversation. A very long text
+    stays whole in its turn; an empty table gives no windows. Other columns aren't read, whatever their names.
     """
     t = turns.select(
         F.col(key).alias("key"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")

@@ -230,7 +230,8 @@ def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids",
     """df with the ids of each whole text (array of int) and the text decoded from them.
 
     A null text counts as empty: begin and end ids alone, decoded as an empty text. All columns of df stay;
-    columns named as the two new ones are replaced. Ids are exactly those of the sentencepiece library without sampling.
+    columns named as the two new ones are replaced. Ids are exactly those of the sentencepiece library without sampling. A very long text is
+    encoded whole, a step of its own; rows that are equal have equal ids; an empty table stays empty.
     """
     df = df.drop(ids, decoded)
     place = df.columns.index(text)

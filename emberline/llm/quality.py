@@ -183,10 +183,10 @@ def fit(texts: list[str], good: list[int]) -> Field | None:
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Field | None:
-    """Fits a field on at most SAMPLE_ROWS labelled rows, chosen by a hash of the id."""
+    """Fits a field on at most SAMPLE_ROWS labelled rows, chosen by a hash of the id; an id with several texts gives each its label, within the bound."""
     sample = labels.select(F.col(key).alias("key"), F.col(label).alias("good")).where(F.col("key").isNotNull() & F.col("good").isin(0, 1))
     sample = sample.groupBy("key").agg(F.min("good").alias("good")).orderBy(F.xxhash64("key"), "key").limit(SAMPLE_ROWS)
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key").collect()
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key").orderBy(F.xxhash64("key", "text"), "key").limit(SAMPLE_ROWS).collect()
     rows = sorted(((r.key, r.text or "", r.good) for r in rows), key=lambda r: r[:2])
     return fit([r[1] for r in rows], [int(r[2]) for r in rows])
 
@@ -195,7 +195,8 @@ def quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept), one row per row of df.
 
     kept: the base rules hold and at least LEAST_SHARE of the words stand in lines labelled content. A null or empty text has no
-    words and fails the base rules. Without labels of both kinds all lines count as content.
+    words and fails the base rules. Without labels of both kinds all lines count as content. A very long text is measured whole, in a step of
+    its own; rows that are equal have equal results. Columns of df besides key and text aren't read.
     """
     sent = df.sparkSession.sparkContext.broadcast(train(df, labels, key, text))
     names = [key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"]

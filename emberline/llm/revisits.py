@@ -62,7 +62,9 @@ def resolve(records: DataFrame) -> DataFrame:
 
     status: ``resolved``; ``mismatch`` when the first validator that both sides have (entity tag compared weakly, digest, last-modified)
     differs; ``unchecked`` when there is none in common; ``no original``. Only resolved and unchecked revisits get headers and a digest.
-    Of responses with one time the one with the largest id counts. Revisits without a URL or time have no original.
+    Of responses with one time the one with the largest id counts. Revisits without a URL or time have no original. Every row of a
+    revisit gives a row, repeated ones too; equal responses count once; an empty log gives no rows. Texts aren't read, so their length is of no
+    account. Other columns of the records aren't read, whatever their names.
     """
     r = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url"), F.col("ts").cast("long").alias("ts"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest")
     plain = r.withColumn("pairs", F.array_sort(F.map_entries("headers"))).drop("headers")

@@ -13,6 +13,8 @@ judged among themselves, and few of them pass unless they are clearly random.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,22 +78,38 @@ def _found(text: Column, rank: int, kind: str, pattern: str, group: int, least:
     """(span, s) of the leftmost non-overlapping matches whose group is long enough: the span in code points from 0, and the match."""
     gaps, all_ = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), 0)
     part = F.regexp_extract_all(text, F.lit(pattern), group) if group else all_
-    steps = F.transform(F.slice(gaps, 1, F.size(all_)), lambda g, i: F.struct(F.char_length(g).alias("gap"), F.char_length(F.get(all_, i)).alias("size"), F.char_length(F.get(part, i)).alias("part"), F.get(all_, i).alias("s")))
-    walked = F.zip_with(steps, _starts(steps), lambda m, at: F.struct(F.struct(at.alias("start"), F.lit(rank).alias("rank"), (at + m["size"]).alias("stop"), F.lit(kind).alias("kind")).alias("span"), m["s"].alias("s"), m["part"].alias("part")))
-    kept = F.transform(F.filter(walked, lambda x: x["part"] >= least), lambda x: F.struct(x["span"].alias("span"), x["s"].alias("s")))
-    return F.when(F.regexp_like(text, F.lit(pattern)), kept).otherwise(F.expr(f"cast(array() as {_FOUND})"))
+    met = F.arrays_zip(F.slice(gaps, 1, F.size(all_)).alias("gap"), all_.alias("s"), part.alias("part"))
+    steps = F.transform(met, lambda m: F.struct(F.char_length(m["gap"]).alias("gap"), F.char_length(m["s"]).alias("size"), F.char_length(m["part"]).alias("part"), m["s"].alias("s")))
+
+    def kept(steps: Column) -> Column:
+        walked = F.zip_with(steps, _starts(steps), lambda m, at: F.struct(F.struct(at.alias("start"), F.lit(rank).alias("rank"), (at + m["size"]).alias("stop"), F.lit(kind).alias("kind")).alias("span"), m["s"].alias("s"), m["part"].alias("part")))
+        return F.transform(F.filter(walked, lambda x: x["part"] >= least), lambda x: F.struct(x["span"].alias("span"), x["s"].alias("s")))
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), _once(steps, kept)).otherwise(F.expr(f"cast(array() as {_FOUND})"))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 #: The longest runs of all alphabets together, and what one must hold to have a candidate inside.
-RUN, MIXED = r"[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_=-]))?" % LEAST, "[0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Z]{%d}" % SHORT
+RUN, MIXED = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:=+(?![A-Za-z0-9+/_=-]))?" % LEAST, "[0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Z]{%d}" % SHORT
+
+
+def _mixed_runs(text: Column) -> Column:
+    """(start, s) of the mixed runs of a text: where each begins, in code points, and the run itself."""
+    found = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+
+    def steps(found: Column) -> Column:
+        met = F.arrays_zip(F.slice(F.split(text, RUN), 1, F.size(found)).alias("gap"), found.alias("s"))
+        return F.transform(met, lambda m: F.struct(F.char_length(m["gap"]).alias("gap"), F.char_length(m["s"]).alias("size"), m["s"].alias("s")))
 
+    def mixed(steps: Column) -> Column:
+        runs = F.zip_with(steps, _starts(steps), lambda m, at: F.struct(at.alias("start"), m["s"].alias("s")))
+        return F.filter(runs, lambda r: F.regexp_like(r["s"], F.lit(MIXED)))
 
-def _walk(docs: DataFrame, text: str) -> DataFrame:
-    """docs with ``runs``, (start, s) of the mixed runs of a text: where each begins, in code points, and the run itself."""
-    x = docs.withColumns({"gaps": F.split(text, RUN), "found": F.regexp_extract_all(text, F.lit(RUN), F.lit(0))})
-    x = x.withColumn("steps", F.transform("found", lambda s, i: F.struct(F.char_length(F.get("gaps", i)).alias("gap"), F.char_length(s).alias("size"), s.alias("s"))))
-    runs = F.zip_with("steps", _starts(F.col("steps")), lambda m, at: F.struct(at.alias("start"), m["s"].alias("s")))
-    return x.withColumn("runs", F.filter(runs, lambda r: F.regexp_like(r["s"], F.lit(MIXED)))).drop("gaps", "found", "steps")
+    return _once(_once(found, steps), mixed)
 
 
 def _parts(run: Column) -> Column:
@@ -206,8 +224,9 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     kinds = [_spans(F.col("t"), i, *k) for i, k in enumerate(KINDS)]
     base = docs.select("doc", "row", *[k.alias(f"k{i}") for i, k in enumerate(kinds)])
     letters = F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}"), F.lit(0))
-    words = F.slice(letters, 1 + F.pmod("row", F.greatest(F.size(letters) - OWN_WORDS, F.lit(1))).cast("int"), OWN_WORDS)
-    mixed = _walk(docs.where(F.regexp_like("t", F.lit(RUN))), "t").where(F.size("runs") > 0).select("doc", "row", words.alias("words"), F.explode("runs").alias("run"))
+    some = lambda x: F.slice(x, 1 + F.pmod("row", F.greatest(F.size(x) - OWN_WORDS, F.lit(1))).cast("int"), OWN_WORDS)
+    held = _once(_mixed_runs(F.col("t")), lambda r: F.struct(r.alias("runs"), F.when(F.size(r) > 0, _once(letters, some)).alias("words")))
+    mixed = cut(docs.select("doc", "row", held.alias("held"))).where(F.size("held.runs") > 0).select("doc", "row", "held.words", F.explode("held.runs").alias("run"))
     found = mixed.select("doc", "row", "words", F.explode(F.array_distinct(_parts(F.col("run")))).alias("part")).select("doc", "row", "words", F.col("part.span").alias("x"), F.col("part.s").alias("s"))
     runs = cut(inferred(found).withColumn("length_class", _length_class("s")))
     tested = battery(runs.drop("words")).select("doc", "row", "x", "encoding", "length_class", "p", "distance")
