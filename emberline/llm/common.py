@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +75,6 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         i = min(j, n)
 
 
-_MASK = (1 << 64) - 1
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatters 64-bit values (the finaliser of the splitmix64 generator)."""
     x = x ^ (x >> np.uint64(30))
@@ -86,44 +84,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-_LOWER_TABLE = _TABLE[_LOWER]
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base & _MASK, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
-
-
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each buf[start:end], equal for equal bytes (with A-Z lower-cased)."""
-    if len(starts) == 0:
-        return np.empty(0, np.uint64)
-    up, down = _power_tables(len(buf) + 1)
-    total = np.empty(len(buf) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((_LOWER_TABLE if lower else _TABLE)[buf] * up[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts in buf: starts, ends, and per text the index of its first word (n + 1)."""
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: All bytes of UTF-8 but 0-9, a-z and those over 0x7F.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[48:58] = NOT_ALNUM[97:123] = NOT_ALNUM[128:] = False
+#: Spans of more bytes are hashed one by one.
+_LONG_SPAN = 256
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each buf[start:end], equal for equal bytes (with A-Z lower-cased).
+
+    Eight bytes of all spans at a time are scattered into what the bytes before gave, so no combination of spans has known collisions; long spans go
+    through XXH3.
+    """
+    buf = LOWER[buf] if lower else np.ascontiguousarray(buf)
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(int(_ODD) * (2 * seed + 1) % (1 << 64)))
+    eights = np.ndarray(len(buf), "<u8", np.r_[buf, np.zeros(8, np.uint8)].tobytes(), 0, (1,)) if len(buf) else np.empty(0, np.uint64)
+    for i in np.flatnonzero(size > _LONG_SPAN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]], seed)
+    live = np.flatnonzero((size > 0) & (size <= _LONG_SPAN))
+    at, left, h = starts[live], size[live], out[live]
+    while len(live):
+        rest = np.minimum(left, 8).astype(np.uint64)
+        h = mix((h ^ (eights[at] & _REST[rest])) * _ODD)
+        over = left <= 8
+        out[live[over]] = h[over]
+        live, at, left, h = live[~over], at[~over] + 8, left[~over] - 8, h[~over]
+    return out
+
+
+#: The bits of a word of eight bytes that its first k bytes hold.
+_REST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that stand for all others, and for each span which of those has its bytes. Bytes are compared: should two unlike spans have one hash, they are hashed anew."""
+    size, seed = ends - starts, 0
+    while True:
+        _, at, each = np.unique(span_hashes(buf, starts, ends, lower=False, seed=seed), return_index=True, return_inverse=True)
+        like = at[each]
+        if (size == size[like]).all():
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            if (buf[np.repeat(starts, size) + inside] == buf[np.repeat(starts[like], size) + inside]).all():
+                return at, each
+        seed += 1
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts in buf, runs of bytes that aren't ``outside`` (``[^\\x20\\x09-\\x0D]+``): starts, ends, and per text the index of its first word (n + 1)."""
     n = len(buf)
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[buf]
+    solid = ~outside[buf]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)

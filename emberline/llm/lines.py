@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.llm.common import _LOWER, _SPACE, cut, flat_utf8, free_name, mix, span_hashes, steps
+from emberline.llm.common import LOWER, SPACE, cut, flat_utf8, free_name, mix, span_hashes, steps
 
 #: Bits of a segment, bits of each filter for a line, and probes: below 1 in 80 of the keys seen once is suspected.
 SEGMENT_BITS, LINE_BITS, PROBES = 1 << 19, 12, 3
@@ -51,7 +51,7 @@ def line_keys(buf: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.
     starts, ends = starts[inside], ends[inside]
     text = np.searchsorted(offsets, starts, "right") - 1
     number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets)[text]
-    solid = ~_SPACE[buf]
+    solid = ~SPACE[buf]
     before = np.r_[0, np.cumsum(solid)]
     place = np.flatnonzero(solid)
     full = before[ends] > before[starts]
@@ -153,7 +153,7 @@ def suspected_keys(docs: DataFrame, n_segments: int, min_chars: int = MIN_CHARS)
 
 def _suspects(docs: DataFrame, twice: DataFrame, n_segments: int, min_chars: int) -> DataFrame:
     """(digest, key, row, line): the lines whose keys the filter of repeated keys holds. docs: key, text, row, id."""
-    lower, small = bytes(_LOWER), n_segments * SEGMENT_BITS // 8 <= SENT_BYTES
+    lower, small = bytes(LOWER), n_segments * SEGMENT_BITS // 8 <= SENT_BYTES
     sent = docs.sparkSession.sparkContext.broadcast({r.segment: bytes(r.twice) for r in twice.collect()}) if small else None
     schema, names = f"digest binary, key {docs.schema['key'].dataType.simpleString()}, row long, line int", ["digest", "key", "row", "line"]
 

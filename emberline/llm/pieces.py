@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from emberline.llm.common import flat_utf8, span_hashes, steps
+from emberline.llm.common import distinct_spans, flat_utf8, steps
 
 #: Distinct words that a task remembers before it starts anew; bounds its memory.
 REMEMBERED = 400_000
@@ -156,29 +156,26 @@ class PieceModel:
         order = np.argsort(owner, kind="stable")
         return flat[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
-    def _spans(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each word lie in self.known_ids: first place and number. Words not met before are merged now."""
-        one, at, each = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.known, one)
-        there = self.known[np.minimum(place, len(self.known) - 1)] == one if len(self.known) else np.zeros(len(one), bool)
-        if (~there).any():
-            if len(self.known) + np.count_nonzero(~there) > REMEMBERED:
-                self._forget()
-                there[:] = False
-            new = at[~there]
-            raw = buf.tobytes()
-            ids, begin = self.merge([raw[i:j].decode("utf-8", "replace").replace(" ", "▁") for i, j in zip(starts[new].tolist(), ends[new].tolist())])
-            first = np.r_[self.known_first, begin[:-1] + len(self.known_ids)]
-            size = np.r_[self.known_size, np.diff(begin)]
-            self.known_ids = np.r_[self.known_ids, ids.astype(np.int32)]
-            every = np.r_[self.known, one[~there]]
-            order = np.argsort(every, kind="stable")
-            self.known, self.known_first, self.known_size = every[order], first[order], size[order]
-            place = np.searchsorted(self.known, one)
-        return self.known_first[place][each], self.known_size[place][each]
+    def _spans(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word lie in self.known_ids: first place and number. Words not met before are merged now; words are known by their bytes."""
+        at, each = distinct_spans(buf, starts, ends)
+        raw = buf.tobytes()
+        distinct = [raw[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist())]
+        new = [w for w in distinct if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self._forget()
+            new = distinct
+        if new:
+            ids, begin = self.merge([w.decode("utf-8", "replace").replace(" ", "▁") for w in new])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.known_first = np.concatenate([self.known_first, begin[:-1] + len(self.known_ids)])
+            self.known_size = np.concatenate([self.known_size, np.diff(begin)])
+            self.known_ids = np.concatenate([self.known_ids, ids.astype(np.int32)])
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[each]
+        return self.known_first[place], self.known_size[place]
 
     def _forget(self) -> None:
-        self.known = np.empty(0, np.uint64)
+        self.known: dict[bytes, int] = {}
         self.known_first = self.known_size = np.empty(0, np.int64)
         self.known_ids = np.empty(0, np.int32)
 
@@ -197,7 +194,7 @@ class PieceModel:
             doc = np.searchsorted(at, starts, "right") - 1
             real = np.diff(at)[doc] > 1  # an empty text has no word, not even the mark before it
             starts, ends, doc = starts[real], ends[real], doc[real]
-            first, size = self._spans(span_hashes(buf, starts, ends, lower=False), starts, ends, buf)
+            first, size = self._spans(buf, starts, ends)
             total = np.bincount(doc, size, j - i).astype(np.int64) + 2
             out_at = np.r_[0, np.cumsum(total)]
             ids = np.empty(out_at[-1], np.int32)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import chat, leaks, lines, lm, near, pieces, quality, revisits, secrets, toxic
+from emberline.llm import bytepairs, chat, leaks, lines, lm, near, pieces, quality, resample, revisits, secrets, toxic, variants
 from emberline.llm.common import documents
 
 
@@ -17,6 +17,13 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_vocabulary_path() -> str:
+    """The public vocabulary file that operator 12 uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -58,9 +65,21 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(documents(spark, sf_dir), piece_model_path())
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir))
+
+
+def op12_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.encode_digests(documents(spark, sf_dir), byte_vocabulary_path())
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": leaks.ORACLE, "op2_line_dedup": lines.ORACLE, "op3_near_duplicates": near.ORACLE, "op8_revisits": revisits.ORACLE, "op9_chat": chat.ORACLE}
+    return {"op1_decontamination": leaks.ORACLE, "op2_line_dedup": lines.ORACLE, "op3_near_duplicates": near.ORACLE, "op8_revisits": revisits.ORACLE, "op9_chat": chat.ORACLE, "op11_variants": variants.ORACLE, "op13_resample": resample.ORACLE}
