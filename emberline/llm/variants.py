@@ -1,7 +1,7 @@
 """Spelling variants: words one edit apart, from a positional inverted index of q-grams (operator 11).
 
-Words are counted where they are read. A word of L letters, with a mark at each end, has L + 3 - q grams, of which one edit spoils at most q; so words one edit apart share all others,
-at places that differ by at most one, and a word's q + 1 rarest grams hold one of those. Only under these is a word indexed, by gram, place and length, and looked up, at the places and
+Words are counted where they are read. A word of L letters, with m marks at each end, has L + 2m + 1 - q grams, of which one edit spoils at most q; so words one edit apart share all
+others, at places that differ by at most one, and a word's q + 1 rarest grams hold one of those. Only under these is a word indexed, by gram, place and length, and looked up, at the places and
 lengths that one inserted letter leaves. Words that meet are told apart by all their grams: posting lists are merged on a heap, and those words stay that reach the
 overlap that one edit leaves at least. A comparison of letters confirms each.
 """
@@ -40,27 +40,27 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", slip:
 # --- the index ----------------------------------------------------------------------------------
 
 
-def _grams(word: Column, q: int) -> Column:
+def _grams(word: Column, q: int, marks: int) -> Column:
     """(place, gram) of all grams of a word with its marks."""
-    marked = F.concat(F.lit(_END), word, F.lit(_END))
-    return F.transform(F.sequence(F.lit(1), F.char_length(word) + 3 - q), lambda i: F.struct(i.alias("place"), marked.substr(i, F.lit(q)).alias("gram")))
+    marked = F.concat(F.lit(_END * marks), word, F.lit(_END * marks))
+    return F.transform(F.sequence(F.lit(1), F.char_length(word) + 2 * marks + 1 - q), lambda i: F.struct(i.alias("place"), marked.substr(i, F.lit(q)).alias("gram")))
 
 
-def _rarest(vocabulary: DataFrame, q: int) -> DataFrame:
+def _rarest(vocabulary: DataFrame, q: int, marks: int) -> DataFrame:
     """word, n, rare: the places of each word's q + 1 rarest grams, the rarest first; grams of one count by their letters, then by place."""
-    grams = vocabulary.select("word", "n", F.explode(_grams(F.col("word"), q)).alias("g")).select("word", "n", "g.place", "g.gram")
+    grams = vocabulary.select("word", "n", F.explode(_grams(F.col("word"), q, marks)).alias("g")).select("word", "n", "g.place", "g.gram")
     ranked = grams.join(grams.groupBy("gram").agg(F.count("*").alias("often")), "gram")
     return ranked.groupBy("word", "n").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("often", "gram", "place"))), 1, q + 1), lambda x: x["place"]).alias("rare"))
 
 
-def _units(rare: DataFrame, q: int, block: int) -> DataFrame:
+def _units(rare: DataFrame, q: int, marks: int, block: int) -> DataFrame:
     """Units of work: an array ``held`` of indexed words (word, n, rare), an array ``asking`` of words that look for them, and how much ``longer`` those found are.
 
     A place of the index is a gram, its place and the length of the words. Words of the place's own length that meet there are a unit's ``held``, which also meet each
     other; ``asking`` are words one letter shorter, and in a split place the words of other blocks.
     """
     length = F.char_length("word")
-    marked = F.concat(F.lit(_END), F.col("word"), F.lit(_END))
+    marked = F.concat(F.lit(_END * marks), F.col("word"), F.lit(_END * marks))
     at = rare.select("word", "n", "rare", length.alias("length"), F.explode("rare").alias("place")).withColumn("gram", marked.substr(F.col("place"), F.lit(q)))
     held = at.withColumn("role", F.lit(0))
     asking = at.withColumn("length", F.col("length") + 1).withColumn("place", F.explode(F.array("place", F.col("place") + 1))).withColumn("role", F.lit(1))
@@ -118,9 +118,9 @@ def one_edit(a: str, b: str) -> bool:
 class _Word:
     __slots__ = ("word", "n", "grams", "rare")
 
-    def __init__(self, said: dict, q: int):
+    def __init__(self, said: dict, q: int, marks: int):
         self.word, self.n = said["word"], said["n"]
-        marked = _END + self.word + _END
+        marked = _END * marks + self.word + _END * marks
         self.grams = [(marked[i : i + q], i + 1) for i in range(len(marked) - q + 1)]
         self.rare = [self.grams[p - 1] for p in said["rare"]]
 
@@ -135,16 +135,16 @@ def _first_meeting(a: _Word, b: _Word) -> tuple[str, int] | None:
     return None
 
 
-def _near_in_unit(unit: dict, q: int) -> Iterator[tuple[_Word, _Word]]:
+def _near_in_unit(unit: dict, q: int, marks: int) -> Iterator[tuple[_Word, _Word]]:
     """Pairs of near words of a unit, each only where its words meet first."""
     here = (unit["gram"], unit["place"])
-    held = sorted((_Word(x, q) for x in unit["held"]), key=lambda x: x.word)
+    held = sorted((_Word(x, q, marks) for x in unit["held"]), key=lambda x: x.word)
     postings = defaultdict(list)
     for k, x in enumerate(held):
         for g in x.grams:
             postings[g].append(k)
-    least = max(1, unit["length"] + 3 - 2 * q)  # grams of the longer word that one edit leaves
-    asking = [(_Word(x, q), len(held)) for side in ("shorter", "others") for x in unit[side]]
+    least = max(1, unit["length"] + 2 * marks + 1 - 2 * q)  # grams of the longer word that one edit leaves
+    asking = [(_Word(x, q, marks), len(held)) for side in ("shorter", "others") for x in unit[side]]
     for a, below in asking + ([(x, k) for k, x in enumerate(held)] if unit["inner"] else []):
         steps = (0,) if len(a.word) == unit["length"] else (0, 1)
         lists = [postings[gram, place + d] for gram, place in a.grams for d in steps if (gram, place + d) in postings]
@@ -158,28 +158,29 @@ def _near_in_unit(unit: dict, q: int) -> Iterator[tuple[_Word, _Word]]:
                 yield one, two
 
 
-def near_words(vocabulary: DataFrame, q: int = 3, block: int = BLOCK) -> DataFrame:
-    """word, n, other, other_n: all pairs of words of a table (word, n) that are one edit apart, each once."""
-    units = _units(cut(_rarest(vocabulary, q)), q, block)
+def near_words(vocabulary: DataFrame, least_letters: int = 0, q: int = 3, block: int = BLOCK) -> DataFrame:
+    """word, n, other, other_n: all pairs of words of a table (word, n) that are one edit apart, each once. No word has fewer than ``least_letters``; the shorter they may be, the more marks."""
+    marks = max(1, q - least_letters // 2)
+    units = _units(cut(_rarest(vocabulary, q, marks)), q, marks, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(a.word, a.n, b.word, b.n) for k in range(batch.num_rows) for a, b in _near_in_unit(batch.slice(k, 1).to_pylist()[0], q)]
+            found = [(a.word, a.n, b.word, b.n) for k in range(batch.num_rows) for a, b in _near_in_unit(batch.slice(k, 1).to_pylist()[0], q, marks)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.int64()) * 2)], names=["word", "n", "other", "other_n"])
 
     return units.mapInArrow(run, "word string, n long, other string, other_n long")
 
 
-def variants(vocabulary: DataFrame, times: int = 5, q: int = 3, block: int = BLOCK) -> DataFrame:
-    """word, form, root, n, n_near, form_n of every word of a table (word, n) of distinct words.
+def variants(vocabulary: DataFrame, times: int = 5, least_letters: int = 0, q: int = 3, block: int = BLOCK) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of a table (word, n) of distinct words of ``least_letters`` or more.
 
     A word's form is its commonest near word (ties: the first in code-point order) if that is ``times`` as common as the word; its root is where forms lead to at last. Words without near
     words have n_near 0 and are their own root. An empty table gives no rows; null words are dropped. Forms grow ``times`` as common at each step, so chains are short and have no
     cycle; they are followed in leaps that double.
     """
     vocabulary = cut(vocabulary.select("word", "n").where(F.col("word").isNotNull()))
-    pairs = near_words(vocabulary, q, block)
+    pairs = near_words(vocabulary, least_letters, q, block)
     both = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form")))
     near = cut(both.groupBy("word", "n").agg(F.count("*").alias("n_near"), best.alias("best")))
@@ -201,7 +202,7 @@ def spelling_variants(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Runs of Latin letters (A to z, U+00C0 to U+00FF) are words, A-Z lower-cased; by a number of key and word, one of ``slip`` runs loses a letter. A null text has no words, a null key counts
     as an empty text, repeated rows count each, very long texts and words are taken whole, and other columns don't matter.
     """
-    return variants(word_counts(docs, key, text, slip, least_letters, least_count), times)
+    return variants(word_counts(docs, key, text, slip, least_letters, least_count), times, least_letters)
 
 
 # Near words share what is left of them without one letter. The CRC of each run goes through a table of 256 numbers, a byte at a time.
