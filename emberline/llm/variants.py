@@ -54,10 +54,10 @@ def _rarest(vocabulary: DataFrame, q: int, marks: int) -> DataFrame:
 
 
 def _units(rare: DataFrame, q: int, marks: int, block: int) -> DataFrame:
-    """Units of work: an array ``held`` of indexed words (word, n, rare), an array ``asking`` of words that look for them, and how much ``longer`` those found are.
+    """Units of work: an array ``held`` of indexed words, an array ``asking`` of words that look for them, and whether those held also meet each other (``inner``).
 
     A place of the index is a gram, its place and the length of the words. Words of the place's own length that meet there are a unit's ``held``, which also meet each
-    other; ``asking`` are words one letter shorter, and in a split place the words of other blocks.
+    other; ``asking`` are words one letter shorter, and in a split place the words of other blocks. An entry is a word, its n and its places, with blanks between.
     """
     length = F.char_length("word")
     marked = F.concat(F.lit(_END * marks), F.col("word"), F.lit(_END * marks))
@@ -71,13 +71,13 @@ def _units(rare: DataFrame, q: int, marks: int, block: int) -> DataFrame:
     mine, every = F.pmod(F.xxhash64("word", "role"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
     # A unit (a, b) holds block b; its asking words are block a of the shorter words and, where a < b, block a of the held ones.
     as_held = F.transform(every, lambda a: F.struct(a.alias("a"), mine.alias("b"), F.lit(0).alias("side")))
-    as_asking = F.transform(every, lambda b: F.struct(mine.alias("a"), b.alias("b"), F.col("role").alias("side")))
+    as_asking = F.transform(every, lambda b: F.struct(mine.alias("a"), b.alias("b"), F.lit(1).alias("side")))
     met = F.filter(as_asking, lambda u: (F.col("role") == 1) | (u["b"] > u["a"]))
-    met = F.transform(met, lambda u: F.struct(u["a"].alias("a"), u["b"].alias("b"), (F.col("role") + F.when(F.col("role") == 0, 2).otherwise(0)).alias("side")))
+    met = F.transform(met, lambda u: F.struct(u["a"].alias("a"), u["b"].alias("b"), F.lit(1).alias("side")))
     rows = rows.withColumn("u", F.explode(F.when(F.col("role") == 0, F.concat(as_held, met)).otherwise(met)))
-    entry = F.struct("word", "n", "rare")
-    units = rows.groupBy(*place, "u.a", "u.b").agg(*[F.collect_list(F.when(F.col("u.side") == side, entry)).alias(name) for side, name in ((0, "held"), (1, "shorter"), (2, "others"))])
-    return units.where((F.size("held") > 0) & (F.size("held") + F.size("shorter") + F.size("others") > 1)).withColumn("inner", F.col("a") == F.col("b"))
+    entry = F.concat_ws(" ", "word", "n", F.array_join("rare", " "))
+    units = rows.groupBy(*place, "u.a", "u.b").agg(*[F.collect_list(F.when(F.col("u.side") == side, entry)).alias(name) for side, name in ((0, "held"), (1, "asking"))])
+    return units.where((F.size("held") > 0) & (F.size("held") + F.size("asking") > 1)).select(*place, "held", "asking", (F.col("a") == F.col("b")).alias("inner"))
 
 
 def merge_postings(lists: list[list[int]], least: int) -> Iterator[int]:
@@ -116,42 +116,46 @@ def one_edit(a: str, b: str) -> bool:
 
 
 class _Word:
-    __slots__ = ("word", "n", "grams", "rare")
+    __slots__ = ("word", "n", "grams", "places")
 
-    def __init__(self, said: dict, q: int, marks: int):
-        self.word, self.n = said["word"], said["n"]
-        marked = _END * marks + self.word + _END * marks
+    def __init__(self, said: str, q: int, ends: str):
+        self.word, self.n, *self.places = said.split(" ")
+        marked = ends + self.word + ends
         self.grams = [(marked[i : i + q], i + 1) for i in range(len(marked) - q + 1)]
-        self.rare = [self.grams[p - 1] for p in said["rare"]]
+
+    def rare(self) -> list[tuple[str, int]]:
+        return [self.grams[int(p) - 1] for p in self.places]
 
 
 def _first_meeting(a: _Word, b: _Word) -> tuple[str, int] | None:
     """The first place of the index, by a's rarest grams, at which a meets b, which isn't shorter."""
-    there = set(b.rare)
-    for gram, place in a.rare:
+    there = set(b.rare())
+    for gram, place in a.rare():
         for p in (place,) if len(a.word) == len(b.word) else (place, place + 1):
             if (gram, p) in there:
                 return gram, p
     return None
 
 
-def _near_in_unit(unit: dict, q: int, marks: int) -> Iterator[tuple[_Word, _Word]]:
+def _near_in_unit(here: tuple[str, int], length: int, inner: bool, held: list[str], asking: list[str], q: int, marks: int) -> Iterator[tuple[_Word, _Word]]:
     """Pairs of near words of a unit, each only where its words meet first."""
-    here = (unit["gram"], unit["place"])
-    held = sorted((_Word(x, q, marks) for x in unit["held"]), key=lambda x: x.word)
+    ends = _END * marks
+    indexed = [_Word(x, q, ends) for x in sorted(held)]
     postings = defaultdict(list)
-    for k, x in enumerate(held):
+    for k, x in enumerate(indexed):
         for g in x.grams:
             postings[g].append(k)
-    least = max(1, unit["length"] + 2 * marks + 1 - 2 * q)  # grams of the longer word that one edit leaves
-    asking = [(_Word(x, q, marks), len(held)) for side in ("shorter", "others") for x in unit[side]]
-    for a, below in asking + ([(x, k) for k, x in enumerate(held)] if unit["inner"] else []):
-        steps = (0,) if len(a.word) == unit["length"] else (0, 1)
-        lists = [postings[gram, place + d] for gram, place in a.grams for d in steps if (gram, place + d) in postings]
+    least = max(1, length + 2 * marks + 1 - 2 * q)  # grams of the longer word that one edit leaves
+    for a, below in [(_Word(x, q, ends), len(indexed)) for x in asking] + ([(x, k) for k, x in enumerate(indexed) if k] if inner else []):
+        lists = [postings[g] for g in a.grams if g in postings]
+        if len(a.word) < length:
+            lists += [postings[g] for g in [(gram, place + 1) for gram, place in a.grams] if g in postings]
+        if len(lists) < least:
+            continue
         for k in merge_postings(lists, least):
             if k >= below:
                 break
-            b = held[k]
+            b = indexed[k]
             # of two words of one length the smaller asks, so that both orders name one place
             one, two = (a, b) if len(a.word) < len(b.word) or a.word < b.word else (b, a)
             if one_edit(one.word, two.word) and _first_meeting(one, two) == here:
@@ -165,7 +169,10 @@ def near_words(vocabulary: DataFrame, least_letters: int = 0, q: int = 3, block:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(a.word, a.n, b.word, b.n) for k in range(batch.num_rows) for a, b in _near_in_unit(batch.slice(k, 1).to_pylist()[0], q, marks)]
+            found = []
+            for i in range(0, batch.num_rows, 256):  # units hold at most two blocks each
+                part = [c.to_pylist() for c in batch.slice(i, 256).columns]
+                found += [(a.word, int(a.n), b.word, int(b.n)) for gram, place, length, held, asking, inner in zip(*part) for a, b in _near_in_unit((gram, place), length, inner, held, asking, q, marks)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.int64()) * 2)], names=["word", "n", "other", "other_n"])
 

@@ -261,3 +261,28 @@ def test_resampling_of_empty_tables(spark):
     assert resample.importance_resample(table(spark, []), none).count() == 0
     with pytest.raises(ValueError, match="can't name"):
         resample.importance_resample(table(spark, rows).withColumnRenamed("doc", "score"), none, key="score")
+
+
+# --- 4: what the battery adds
+
+
+def plain_apart(added, base):
+    free = [x for x in added if not any(x[0] < y[1] and y[0] < x[1] for y in base)]
+    return sorted(x for x in free if not any(y[0] <= x[0] and x[1] <= y[1] and y[1] - y[0] > x[1] - x[0] for y in free))
+
+
+def test_added_spans_are_those_of_all_pairs(spark):
+    from emberline.llm import secrets
+
+    rng = random.Random(4)
+    span = "struct<start: int, rank: int, stop: int, kind: string>"
+    texts = {}
+    for key in [*range(30), None]:
+        pick = lambda n: list({(a, a + rng.randrange(1, 12)) for a in (rng.randrange(60) for _ in range(rng.randrange(n)))})
+        texts[key] = (pick(12), pick(5))
+    added = spark.createDataFrame([(k, 7, (a, 3, b, "random")) for k, (new, _) in texts.items() for a, b in new], f"doc long, row long, x {span}")
+    base = spark.createDataFrame([(k, 7, [(a, 0, b, "assign") for a, b in own], [], []) for k, (_, own) in texts.items()], f"doc long, row long, k0 array<{span}>, k1 array<{span}>, k2 array<{span}>")
+    got = {}
+    for r in secrets.apart(added, base).collect():
+        got.setdefault(r.doc, []).append((r.x.start, r.x.stop))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in ((k, plain_apart(*x)) for k, x in texts.items()) if v}
