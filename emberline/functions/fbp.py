@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,22 @@ def surface_ros(isi: Column, bui: Column, pc: Column, cure: Column) -> Column:
     return F.when(fuel.isin("M1", "M2"), mixed).otherwise(plain)
 
 
+def rate_terms(bui: Column, pc: Column, cure: Column) -> Column:
+    """The surface rate of a row as a function of its isi alone: two terms (weight, b, c), for ``rate_of_terms``. Where a fuel has one, the second weighs nothing."""
+    fuel = F.col("fuel")
+    one = lambda w, b, c: F.struct(w.cast("double").alias("weight"), b.alias("b"), c.alias("c"))
+    conifer = one(pc / 100.0 * _C2[2] * bui_effect(bui, F.lit(_C2[5]), F.lit(_C2[6])), F.lit(_C2[3]), F.lit(_C2[4]))
+    leafy = one((1.0 - pc / 100.0) * _D1[2] * F.when(fuel == "M2", 0.2).otherwise(1.0), F.lit(_D1[3]), F.lit(_D1[4]))
+    weight = F.col("a") * F.when(F.col("fuel_group").isin("conifer", "slash", "mixedwood"), bui_effect(bui, F.col("q"), F.col("bui0"))).otherwise(1.0)
+    plain = one(weight * F.when(fuel.isin("O1a", "O1b"), grass_curing(cure)).otherwise(1.0), F.col("b"), F.col("c"))
+    return F.when(fuel.isin("M1", "M2"), F.array(conifer, leafy)).otherwise(F.array(plain, one(F.lit(0.0), F.col("b"), F.col("c"))))
+
+
+def rate_of_terms(terms: np.ndarray, isi: np.ndarray) -> np.ndarray:
+    """surface_ros() in numpy: terms is (..., 2 terms, 3 numbers), isi of the shape before."""
+    return (terms[..., 0] * (1.0 - np.exp(-terms[..., 1] * isi[..., None])) ** terms[..., 2]).sum(-1)
+
+
 def critical_intensity(cbh: Column, fmc: Column) -> Column:
     return F.when(cbh <= 0, 0.0).otherwise(F.pow(0.01 * cbh * (460.0 + 25.9 * fmc), 1.5))
 

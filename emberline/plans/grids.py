@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberline.functions import geometry as G
 from emberline.functions import rng as R
 from emberline.functions.fuels import CODES
-from emberline.operators import cellular, huygens, montecarlo, raster, spatial
+from emberline.operators import cellular, huygens, montecarlo, raster, rasterise, spatial
 from emberline.plans import sql as S
 from emberline.plans import weather
 from emberline.plans.registry import query, r
@@ -56,12 +56,14 @@ def cell_lookup(spark, sf_dir):
     return a.join(fuel_cells(spark, sf_dir).select("row", "col", "fuel"), ["row", "col"], "left").select("asset", "row", "col", F.coalesce("fuel", F.lit("none")).alias("fuel"))
 
 
-_MID = "53.8::DOUBLE - (row + 0.5::DOUBLE) * 0.0103::DOUBLE AS lat, -113.8::DOUBLE + (col + 0.5::DOUBLE) * 0.0153::DOUBLE AS lng"
+_MID = "53.8::DOUBLE - (row + 0.5::DOUBLE) * (0.5::DOUBLE / ((SELECT max(row) FROM v_cell) + 1)) AS lat, -113.8::DOUBLE + (col + 0.5::DOUBLE) * 0.015::DOUBLE AS lng"
 _RAY = "(lat0 > lat) <> (lat0 + 0.1::DOUBLE > lat) AND lng < lng0 + 0.12::DOUBLE AND NOT lng < lng0"
 
 
 def _middles(c):
-    return c.withColumns({"lat": 53.8 - (F.col("row") + 0.5) * 0.0103, "lng": -113.8 + (F.col("col") + 0.5) * 0.0153})
+    """Cells with the middles of theirs, in a grid that reaches over the whole extent."""
+    x = c.crossJoin(F.broadcast(c.agg((F.max("row") + 1).alias("n_rows"))))  # one row
+    return x.withColumns({"lat": V.LAT_MAX - (F.col("row") + 0.5) * (0.5 / F.col("n_rows")), "lng": V.LNG_MIN + (F.col("col") + 0.5) * 0.015}).drop("n_rows")
 
 
 @query(S.query("v_cell v_zone", f"""WITH m AS (SELECT row, col, {_MID} FROM v_cell), i AS (SELECT row, col, min(zone) AS zone FROM m JOIN v_zone ON {_RAY} GROUP BY row, col)
@@ -99,6 +101,49 @@ def mask_apply(spark, sf_dir):
     return x.groupBy(F.coalesce("fuel", F.lit("non-fuel")).alias("fuel")).agg(F.count("*").alias("n"), F.count("masked").alias("masked"))
 
 
+# Rings of an area beside a zone's corner: (part, north and east of the corner, in degrees). The first part has a hole, and the second overlaps its edge.
+_AREA_RINGS = (
+    (0, ((0.0113, 0.0127), (0.0089, 0.0711), (0.0317, 0.1093), (0.0457, 0.0609), (0.0931, 0.0857), (0.0803, 0.0211))),
+    (0, ((0.0271, 0.0303), (0.0259, 0.0507), (0.0411, 0.0399), (0.0613, 0.0477), (0.0577, 0.0293))),
+    (1, ((0.0839, 0.0719), (0.1087, 0.1311), (0.0723, 0.1007))),
+)
+
+
+def areas(spark, sf_dir):
+    """Areas with a hole and two parts, one a zone: area, part, ring."""
+    z = V.zones(spark, sf_dir)
+    rings = [F.struct(F.lit(part).alias("part"), F.array(*[F.struct((F.col("lat0") + a).alias("lat"), (F.col("lng0") + b).alias("lng")) for a, b in ring]).alias("ring")) for part, ring in _AREA_RINGS]
+    return z.select(F.col("zone").alias("area"), F.explode(F.array(*rings)).alias("r")).select("area", "r.part", "r.ring")
+
+
+def _areas_sql() -> str:
+    rings = ", ".join("{'part': %d, 'ring': %d, 'p': [%s]}" % (part, k, ", ".join(f"[lat0 + {a}::DOUBLE, lng0 + {b}::DOUBLE]" for a, b in ring)) for k, (part, ring) in enumerate(_AREA_RINGS))
+    return f"""dims AS (SELECT max(row) + 1 AS n_rows FROM v_cell),
+    r AS (SELECT zone AS area, unnest([{rings}]) AS r FROM v_zone),
+    v AS (SELECT area, r.part AS part, r.ring AS ring, list_transform(r.p, lambda q: [(q[2] + 113.8::DOUBLE) / 0.6::DOUBLE * 40, (53.8::DOUBLE - q[1]) / 0.5::DOUBLE * n_rows]) AS p FROM r CROSS JOIN dims),
+    e AS (SELECT area, part, p[i] AS a, p[i % len(p) + 1] AS b FROM (SELECT *, unnest(generate_series(1, len(p))) AS i FROM v)),
+    box AS (SELECT area, min(least(a[1], b[1])) AS x0, max(greatest(a[1], b[1])) AS x1, min(least(a[2], b[2])) AS y0, max(greatest(a[2], b[2])) AS y1 FROM e GROUP BY area),
+    near AS (SELECT area, row, CAST(col AS INTEGER) AS col FROM (SELECT DISTINCT row FROM v_cell) CROSS JOIN range(40) c(col) JOIN box ON row + 1 > y0 AND row < y1 AND col + 1 > x0 AND col < x1),
+    side AS (SELECT near.*, part, a, b, list_transform([[0, 0], [0, 1], [1, 0], [1, 1]], lambda k: (b[1] - a[1]) * (row + k[1] - a[2]) - (b[2] - a[2]) * (col + k[2] - a[1])) AS s FROM near JOIN e USING (area)),
+    crossed AS (SELECT DISTINCT area, row, col FROM side WHERE list_min(s) <= 0 AND list_max(s) >= 0 AND greatest(a[1], b[1]) >= col AND least(a[1], b[1]) < col + 1 AND greatest(a[2], b[2]) >= row AND least(a[2], b[2]) < row + 1),
+    held AS (SELECT area, row, col, part FROM side WHERE (a[2] > row + 0.5) <> (b[2] > row + 0.5) AND col + 0.5 < a[1] + (row + 0.5 - a[2]) * (b[1] - a[1]) / (b[2] - a[2]) GROUP BY area, row, col, part HAVING count(*) % 2 = 1),
+    touched AS (SELECT area, row, col FROM crossed UNION SELECT area, row, col FROM held)"""
+
+
+@query(S.query("v_cell v_zone", f"WITH {_areas_sql()} SELECT area, CAST(row AS INTEGER) AS row, col FROM touched"))
+def area_cells(spark, sf_dir):
+    """Cells of the whole grid that areas with holes and parts touch."""
+    n_rows = V.cells(spark, sf_dir).agg(F.max("row") + 1).first()[0]
+    return rasterise.cells_touched(areas(spark, sf_dir), EXTENT, n_rows, V.COLS)
+
+
+@query(S.query("v_cell v_zone codes", f"{_FUEL}, {_areas_sql()}, mask AS (SELECT DISTINCT row, col FROM touched) SELECT g.row, g.col, CASE WHEN mask.row IS NULL THEN fuel END AS fuel FROM g LEFT JOIN mask ON g.row = mask.row AND g.col = mask.col"))
+def area_mask(spark, sf_dir):
+    """The fuel map with no fuel under the areas."""
+    mask = area_cells(spark, sf_dir).select("row", "col").distinct().withColumn("masked", F.lit(True))
+    return fuel_cells(spark, sf_dir).join(mask, ["row", "col"], "left").select("row", "col", F.when(F.col("masked").isNull(), F.col("fuel")).alias("fuel"))
+
+
 def _grad(line: str, along: str) -> str:
     w = f"OVER (PARTITION BY {line} ORDER BY {along})"
     return f"CASE WHEN lag(elev) {w} IS NULL AND lead(elev) {w} IS NULL THEN 0.0::DOUBLE WHEN lag(elev) {w} IS NULL THEN (lead(elev) {w} - elev) / 50.0::DOUBLE WHEN lead(elev) {w} IS NULL THEN (elev - lag(elev) {w}) / 50.0::DOUBLE ELSE (lead(elev) {w} - lag(elev) {w}) / 100.0::DOUBLE END"
@@ -173,6 +218,33 @@ def ca_one_step(spark, sf_dir):
     return lit.select("row", "col", r("intensity", 3))
 
 
+_RINGS_LIT = "CAST(greatest(abs(g.row - n_rows // 2), abs(g.col - 20)) AS INTEGER)"
+
+
+@query(S.query("v_cell v_scen fuels codes", f"""{_FUEL}, {S.fbp('0.0::DOUBLE', source="(SELECT f.fuel, 25.0::DOUBLE AS wind, 90.0::DOUBLE AS ffmc, 45.0::DOUBLE AS dmc, 300.0::DOUBLE AS dc, 50.0::DOUBLE AS pc, 60.0::DOUBLE AS cure FROM fuels f)")[5:]},
+lit AS (SELECT g.row // 100 AS sim, {_RINGS_LIT} AS step, ros_final AS ros FROM g JOIN fbp ON g.fuel = fbp.fuel CROSS JOIN (SELECT max(row) + 1 AS n_rows FROM v_cell)),
+active AS (SELECT sim, ros, unnest(generate_series(step + 1, least(240, step + greatest(CAST(ceil(CASE WHEN ros > 0.001 THEN greatest(2.0, 50.0 / greatest(ros, 0.1)) ELSE 10 END) AS BIGINT), 1)))) AS step FROM lit WHERE step < 240),
+sums AS (SELECT sim, step, count(*) AS n, avg(ros) AS mean FROM active GROUP BY sim, step),
+every AS (SELECT sim, CAST(range AS INTEGER) AS step FROM (SELECT DISTINCT sim FROM lit) CROSS JOIN range(241))
+SELECT every.sim, every.step, coalesce(n, 0) AS n_active, round(coalesce(mean, 0.0), 6) AS mean_ros FROM every LEFT JOIN sums ON every.sim = sums.sim AND every.step = sums.step"""))
+def active_rates(spark, sf_dir):
+    """Mean rate of the cells that burn in each step, for fires that grow by a ring of cells a step, one for each 100 rows of the grid."""
+    c = fuel_cells(spark, sf_dir).where("fuel is not null")
+    n_rows = V.cells(spark, sf_dir).agg(F.max("row") + 1).first()[0]
+    step = F.greatest(F.abs(F.col("row") - n_rows // 2), F.abs(F.col("col") - V.COLS // 2)).cast("int")
+    lit = c.join(F.broadcast(rates_of_fuels(spark)), "fuel").select(F.floor(F.col("row") / 100).alias("sim"), step.alias("step"), "ros")  # one row a fuel
+    return cellular.active_rates(lit, 1.0, CELL_M, 240).select("sim", "step", "n_active", r("mean_ros"))
+
+
+def rates_of_fuels(spark):
+    """fuel, ros, fi under the weather of the case below, on flat ground."""
+    from emberline.functions import fbp as B
+    from emberline.functions.fuels import fuel_table
+
+    rows = fuel_table(spark).select("fuel", *[F.lit(v).alias(k) for k, v in _WEATHER.items() if k != "dir"])
+    return B.with_fbp(rows, slope=False).select("fuel", F.col("ros_final").alias("ros"), F.col("hfi").alias("fi"))
+
+
 _WEATHER = {"wind": 25.0, "dir": 270.0, "ffmc": 90.0, "dmc": 45.0, "dc": 300.0, "pc": 50.0, "cure": 60.0}
 
 
@@ -228,8 +300,9 @@ def mc_summary(spark, sf_dir):
 
 
 def fuel_grid(spark, sf_dir):
-    """The fuel cells, and the extent that they cover."""
-    return fuel_cells(spark, sf_dir).select("row", "col", "fuel"), EXTENT
+    """The fuel cells with their slope and aspect and the multipliers of their zones, and the extent that they cover."""
+    zones = wui_modifiers(spark, sf_dir).select("row", "col", "ros_mult", "ember_mult")
+    return ground(spark, sf_dir).join(zones, ["row", "col"]), EXTENT
 
 
 def fires(spark, sf_dir, hours: float = 2.0):
@@ -244,7 +317,7 @@ def fires(spark, sf_dir, hours: float = 2.0):
 
 @query()
 def huygens_frames(spark, sf_dir):
-    """Frames of wavelet fires over the fuel cells, with their barriers and embers."""
+    """Frames of wavelet fires over the fuel cells, with their terrain, the multipliers of zones, barriers and embers."""
     x = huygens.frames(fires(spark, sf_dir), *fuel_grid(spark, sf_dir))
     return x.select("sim", "idx", "t", "n_fronts", "n_points", r("area_ha", 4), r("head_ros", 5), r("hfi", 3), "fire_type")
 

@@ -166,3 +166,48 @@ def test_runs_together_are_as_alone_and_embers_jump_barriers():
         assert (together[:, 2] > 32).any() == (wind is not None)
         places = together[:, 1:3].astype(int)
         assert (fuel[places[:, 0], places[:, 1]] >= 0).all() and len(np.unique(together[:, :3], axis=0)) == len(together)
+
+
+def test_rates_by_terms_are_those_of_the_columns(spark):
+    """The surface rate of every fuel, as a Column and in numpy."""
+    from emberline.functions import fbp as B
+    from emberline.functions.fuels import fuel_table
+
+    rows = fuel_table(spark).crossJoin(spark.createDataFrame([(i, b, p, c) for i in (0.0, 0.4, 7.0, 40.0) for b, p, c in ((0.0, 50.0, 60.0), (80.0, 0.0, 40.0), (150.0, 100.0, 95.0))], "isi double, bui double, pc double, cure double"))
+    got = rows.select("isi", B.surface_ros(F.col("isi"), F.col("bui"), F.col("pc"), F.col("cure")).alias("ros"), B.rate_terms(F.col("bui"), F.col("pc"), F.col("cure")).alias("t")).collect()
+    terms = np.array([[[x.weight, x.b, x.c] for x in r.t] for r in got])
+    assert len(got) == 18 * 12
+    np.testing.assert_allclose(B.rate_of_terms(terms, np.array([r.isi for r in got])), [r.ros for r in got], rtol=1e-12, atol=1e-12)
+
+
+def _slope_cells(spark, slope, mult=1.0):
+    c = spark.range(80 * 80).select(F.floor(F.col("id") / 80).cast("int").alias("row"), (F.col("id") % 80).cast("int").alias("col"))
+    return c.withColumns({"fuel": F.lit("C3"), "slope": F.lit(slope), "aspect": F.lit(90.0), "ros_mult": F.lit(mult), "ember_mult": F.lit(1.0)})
+
+
+def test_wavelets_follow_the_ground_and_the_zones(spark):
+    s = scenario(spark, lat=51.02, lng=-113.98, hours=0.5, wind=0.0).withColumn("fuel", F.lit("C3"))
+    extent = (51.0, 51.04, -114.0, -113.96)
+    last = lambda cells: huygens.frames(s, cells, extent, spotting=False).orderBy(F.desc("idx")).first()
+    east = lambda f: max(p.lng for p in f.perimeter) + 113.98
+    west = lambda f: -113.98 - min(p.lng for p in f.perimeter)
+    flat, plain = last(_slope_cells(spark, 0.0)), last(_slope_cells(spark, 0.0).select("row", "col", "fuel"))
+    assert flat.asDict() == plain.asDict()
+    steep = last(_slope_cells(spark, 40.0))
+    assert east(steep) > 1.2 * east(flat) and west(steep) < west(flat)  # uphill is east
+    fast = last(_slope_cells(spark, 0.0, 1.5))
+    start = 30.0 / (G.M_PER_DEG * np.cos(np.radians(51.02)))
+    assert east(fast) - start == pytest.approx(1.5 * (east(flat) - start), rel=0.02)
+
+
+def test_rays_of_the_kernel_are_those_of_the_projection(spark):
+    """One step from one vertex on a slope: by columns and in numpy."""
+    s = scenario(spark, wind=20.0).withColumn("slope", F.lit(35.0))
+    for fuel in ("C2", "M1", "O1a", "S2"):
+        one = s.withColumn("fuel", F.lit(fuel))
+        by_column = huygens.rays(one, F.lit(200.0), 1.0).orderBy("ray").select("north_m", "east_m").collect()
+        base = huygens.rays(one.withColumn("slope", F.lit(0.0)), F.lit(0.0), 1.0).orderBy("ray").collect()
+        x = base[0]
+        wave = huygens._Wave(np.array([[(r.north_m, r.east_m) for r in base]]), np.array([[r.reach for r in base]]), np.array([[[t.weight, t.b, t.c] for t in x.terms]]), np.array([x.ros_surface]), x.isi)
+        ground = huygens._Grid(np.zeros((1, 1), np.int8), {"slope": np.array([[35.0]]), "aspect": np.array([[200.0]])}, (50.0, 52.0, -115.0, -113.0))
+        np.testing.assert_allclose(wave.of(np.array([0]), np.array([[51.0, -114.0]]), ground)[0], [tuple(r) for r in by_column], rtol=1e-9, atol=1e-9)
