@@ -174,12 +174,14 @@ def _mosaic_sql() -> str:
     own = "(CAST(row AS BIGINT) * 100000 + col)"
     u = f"CASE WHEN {R.uniform_sql('7', '2', own)} < 0.1::DOUBLE THEN {R.uniform_sql('7', '3', own)} ELSE {R.uniform_sql('7', '1', block)} END"
     pick = " ".join(f"WHEN u < {w}::DOUBLE THEN '{f}'" for f, w in raster.PALETTE)
-    return f"WITH g AS (SELECT CAST(range // 80 AS INTEGER) AS row, CAST(range % 80 AS INTEGER) AS col FROM range(6400)), u AS (SELECT *, {u} AS u FROM g) SELECT row, col, coalesce(CASE {pick} END, CASE WHEN row = 40 AND col = 40 THEN 'C2' END) AS fuel FROM u"
+    return f"WITH d AS (SELECT max(row) + 1 AS n_rows FROM v_cell), g AS (SELECT n_rows, CAST(i // 40 AS INTEGER) AS row, CAST(i % 40 AS INTEGER) AS col FROM (SELECT n_rows, unnest(range(n_rows * 40)) AS i FROM d)), u AS (SELECT *, {u} AS u FROM g) SELECT row, col, coalesce(CASE {pick} END, CASE WHEN row = n_rows // 2 AND col = 20 THEN 'C2' END) AS fuel FROM u"
 
 
-@query(_mosaic_sql())
+@query(S.query("v_cell", _mosaic_sql()))
 def synthetic_mosaic(spark, sf_dir):
-    return raster.mosaic(spark, 80, 80, 7, (40, 40))
+    """A synthetic fuel map as large as the grid of the table, lit in its middle."""
+    n_rows = V.cells(spark, sf_dir).agg(F.max("row") + 1).first()[0]
+    return raster.mosaic(spark, n_rows, V.COLS, 7, (n_rows // 2, V.COLS // 2))
 
 
 @query(S.query("v_cell codes", f"{_FUEL} SELECT row, col, CAST(greatest(abs(row - 2), abs(col - 0)) AS INTEGER) AS rings FROM g WHERE fuel IS NOT NULL AND greatest(abs(row - 2), abs(col - 0)) <= 100 ORDER BY rings, row, col LIMIT 1"))
