@@ -13,6 +13,7 @@ import math
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,46 +62,46 @@ def _units(rare: DataFrame, q: int, marks: int, block: int) -> DataFrame:
     """
     length = F.char_length("word")
     marked = F.concat(F.lit(_END * marks), F.col("word"), F.lit(_END * marks))
-    at = rare.select("word", "n", "rare", length.alias("length"), F.explode("rare").alias("place")).withColumn("gram", marked.substr(F.col("place"), F.lit(q)))
+    entry = F.concat_ws(" ", "word", "n", F.array_join("rare", " "))
+    at = rare.select("word", entry.alias("entry"), length.alias("length"), F.explode("rare").alias("place")).withColumn("gram", marked.substr(F.col("place"), F.lit(q))).drop("word")
     held = at.withColumn("role", F.lit(0))
     asking = at.withColumn("length", F.col("length") + 1).withColumn("place", F.explode(F.array("place", F.col("place") + 1))).withColumn("role", F.lit(1))
     rows = held.unionByName(asking)
     place = ["gram", "place", "length"]
     crowded = rows.groupBy(*place).agg(F.count("*").alias("size")).where(F.col("size") > block).select(*place, F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     rows = rows.join(crowded, place, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine, every = F.pmod(F.xxhash64("word", "role"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    mine, every = F.pmod(F.xxhash64("entry", "role"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
     # A unit (a, b) holds block b; its asking words are block a of the shorter words and, where a < b, block a of the held ones.
     as_held = F.transform(every, lambda a: F.struct(a.alias("a"), mine.alias("b"), F.lit(0).alias("side")))
     as_asking = F.transform(every, lambda b: F.struct(mine.alias("a"), b.alias("b"), F.lit(1).alias("side")))
     met = F.filter(as_asking, lambda u: (F.col("role") == 1) | (u["b"] > u["a"]))
     met = F.transform(met, lambda u: F.struct(u["a"].alias("a"), u["b"].alias("b"), F.lit(1).alias("side")))
     rows = rows.withColumn("u", F.explode(F.when(F.col("role") == 0, F.concat(as_held, met)).otherwise(met)))
-    entry = F.concat_ws(" ", "word", "n", F.array_join("rare", " "))
-    units = rows.groupBy(*place, "u.a", "u.b").agg(*[F.collect_list(F.when(F.col("u.side") == side, entry)).alias(name) for side, name in ((0, "held"), (1, "asking"))])
+    units = rows.groupBy(*place, "u.a", "u.b").agg(*[F.collect_list(F.when(F.col("u.side") == side, F.col("entry"))).alias(name) for side, name in ((0, "held"), (1, "asking"))])
     return units.where((F.size("held") > 0) & (F.size("held") + F.size("asking") > 1)).select(*place, "held", "asking", (F.col("a") == F.col("b")).alias("inner"))
 
 
 def merge_postings(lists: list[list[int]], least: int) -> Iterator[int]:
-    """Numbers in at least ``least`` of the sorted lists. The lists are merged on a heap; numbers that too few lists can still hold are skipped."""
-    heap = [(x[0], k, 0) for k, x in enumerate(lists) if x]
-    heapq.heapify(heap)
-    while len(heap) >= least:
-        first, popped = heap[0][0], []
-        while heap and heap[0][0] == first:
-            popped.append(heapq.heappop(heap))
-        if len(popped) >= least:
-            yield first
-            target = first + 1
-        else:  # whatever comes before the least-th list's number is in fewer lists
-            while heap and len(popped) < least - 1:
-                popped.append(heapq.heappop(heap))
-            if not heap:
-                return
-            target = max(first + 1, heap[0][0])
-        for _, k, at in popped:
-            at = bisect_left(lists[k], target, at)
-            if at < len(lists[k]):
-                heapq.heappush(heap, (lists[k][at], k, at))
+    """Numbers in at least ``least`` of the sorted lists, in order.
+
+    Such a number is in one of all lists but the ``least`` - 1 longest. Those others are merged on a heap, and what comes up is looked for in the longest by halving, as long as enough of
+    them are left.
+    """
+    lists = sorted(filter(None, lists), key=len)
+    several = len(lists) - least + 1
+    if several < 1:
+        return
+    longest = lists[several:]
+    for number, same in groupby(heapq.merge(*lists[:several]) if several > 1 else lists[0]):
+        missing, left = least - len(list(same)), len(longest)
+        for x in longest:
+            if missing < 1 or missing > left:
+                break
+            at = bisect_left(x, number)
+            missing -= at < len(x) and x[at] == number
+            left -= 1
+        if missing < 1:
+            yield number
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -147,9 +148,9 @@ def _near_in_unit(here: tuple[str, int], length: int, inner: bool, held: list[st
             postings[g].append(k)
     least = max(1, length + 2 * marks + 1 - 2 * q)  # grams of the longer word that one edit leaves
     for a, below in [(_Word(x, q, ends), len(indexed)) for x in asking] + ([(x, k) for k, x in enumerate(indexed) if k] if inner else []):
-        lists = [postings[g] for g in a.grams if g in postings]
+        lists = [x for g in a.grams if (x := postings.get(g))]
         if len(a.word) < length:
-            lists += [postings[g] for g in [(gram, place + 1) for gram, place in a.grams] if g in postings]
+            lists += [x for gram, place in a.grams if (x := postings.get((gram, place + 1)))]
         if len(lists) < least:
             continue
         for k in merge_postings(lists, least):
