@@ -90,3 +90,29 @@ def factor_for(resolution_m: float, target_m: float, rows: int, cols: int, most:
     if math.ceil(rows / k) * math.ceil(cols / k) > most:
         raise ValueError(f"{rows} x {cols} cells at {resolution_m} m are too many; take a coarser target")
     return k
+
+
+def resampled(cells: DataFrame, rows: int, cols: int, resolution_m: float, target_m: float, most: int = 100_000_000) -> tuple[DataFrame, float]:
+    """(row, col, elev) of a grid at about the target resolution, by the two by two cells about each new one, and its cell size; a grid that is coarse enough stays.
+
+    The corners of both grids are the same. Each old cell adds its elevation to the new ones less than a cell away, weighted by the rest of that distance, so one aggregation
+    does without a join. Elevations are all known (``filled`` sees to that). A grid that stays larger than ``most`` cells is refused.
+    """
+    scale = min(1.0, resolution_m / target_m)
+    n_rows, n_cols = max(1, round(rows * scale)), max(1, round(cols * scale))
+    if n_rows * n_cols > most:
+        raise ValueError(f"{n_rows} x {n_cols} cells are too many; take a coarser target")
+    if scale == 1.0:
+        return cells.select("row", "col", "elev"), resolution_m
+
+    def new(at: str, n_old: int, n_new: int) -> Column:
+        """Numbers of the new lines that a cell counts for, and its weight in them."""
+        step = (n_old - 1) / (n_new - 1) if n_new > 1 else float(n_old)
+        first, last = F.greatest(F.ceil((F.col(at) - 1) / step), F.lit(0)).cast("int"), F.least(F.floor((F.col(at) + 1) / step), F.lit(n_new - 1)).cast("int")
+        every = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(every, lambda k: F.struct(k.alias("k"), (1.0 - F.abs(k * step - F.col(at))).alias("w"))), lambda x: x["w"] > 1e-9)
+
+    x = cells.select("elev", "col", F.explode(new("row", rows, n_rows)).alias("r")).select("elev", "r", F.explode(new("col", cols, n_cols)).alias("c"))
+    w = F.col("r.w") * F.col("c.w")
+    summed = x.groupBy(F.col("r.k").alias("row"), F.col("c.k").alias("col")).agg((F.sum(w * F.col("elev")) / F.sum(w)).alias("elev"))
+    return summed, resolution_m / scale

@@ -169,6 +169,18 @@ def nodata_fill(spark, sf_dir):
     return raster.filled(c, F.col("code") == 98).select("row", "col", r("elev", 5))
 
 
+@query(S.query("v_cell", """WITH d AS (SELECT max(row) + 1 AS rows, CAST(round_even((max(row) + 1) * (50.0::DOUBLE / 120.0::DOUBLE), 0) AS INTEGER) AS n_rows, 17 AS n_cols FROM v_cell),
+g AS (SELECT row, col, CASE WHEN code = 98 THEN (SELECT avg(elev) FROM v_cell WHERE code <> 98) ELSE elev END AS elev FROM v_cell),
+n AS (SELECT rows, r, c, r * ((rows - 1)::DOUBLE / (n_rows - 1)) AS y, c * (39.0::DOUBLE / 16.0::DOUBLE) AS x FROM (SELECT *, unnest(range(n_rows)) AS r FROM d) CROSS JOIN range(17) t(c)),
+k AS (SELECT r, c, g.elev, greatest(0.0::DOUBLE, 1 - abs(y - g.row)) * greatest(0.0::DOUBLE, 1 - abs(x - g.col)) AS w FROM n JOIN g ON g.row BETWEEN floor(y + 1e-9) AND floor(y + 1e-9) + 1 AND g.col BETWEEN floor(x + 1e-9) AND floor(x + 1e-9) + 1)
+SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, round(sum(w * elev) / sum(w), 5) AS elev FROM k GROUP BY r, c"""))
+def elevation_resampled(spark, sf_dir):
+    """Elevations at 120 m from those at 50 m, missing ones filled first."""
+    c = raster.filled(V.cells(spark, sf_dir), F.col("code") == 98)
+    n_rows = c.agg(F.max("row") + 1).first()[0]
+    return raster.resampled(c, n_rows, V.COLS, CELL_M, 120.0)[0].select("row", "col", r("elev", 5))
+
+
 def _mosaic_sql() -> str:
     block = "((row // 10) * 100000 + col // 10)"
     own = "(CAST(row AS BIGINT) * 100000 + col)"

@@ -84,3 +84,27 @@ def test_active_rates_are_those_of_a_walk_over_steps(spark, dt):
     assert got.keys() == expected.keys()
     for k, (n, mean) in expected.items():
         assert got[k][0] == n and got[k][1] == pytest.approx(mean, abs=1e-9)
+
+
+@pytest.mark.parametrize(("rows", "cols", "target"), [(9, 7, 75.0), (30, 20, 130.0), (5, 40, 400.0), (3, 3, 50.0), (2, 2, 1000.0)])
+def test_resampled_elevations_are_bilinear(spark, rows, cols, target):
+    """Against interpolation at each new cell's place; corners stay."""
+    from emberline.operators import raster
+
+    rng = random.Random(rows)
+    z = [[rng.uniform(500, 900) for _ in range(cols)] for _ in range(rows)]
+    cells = spark.createDataFrame([(i, j, z[i][j]) for i in range(rows) for j in range(cols)], "row int, col int, elev double")
+    got, cell_m = raster.resampled(cells, rows, cols, 50.0, target)
+    n, m = max(1, round(rows * min(1, 50 / target))), max(1, round(cols * min(1, 50 / target)))
+    expected = {}
+    for i in range(n):
+        for j in range(m):
+            y, x = i * (rows - 1) / max(1, n - 1), j * (cols - 1) / max(1, m - 1)
+            a, b = min(int(y + 1e-9), rows - 1), min(int(x + 1e-9), cols - 1)
+            c, d = min(a + 1, rows - 1), min(b + 1, cols - 1)
+            expected[i, j] = z[a][b] * (1 - y + a) * (1 - x + b) + z[c][b] * (y - a) * (1 - x + b) + z[a][d] * (1 - y + a) * (x - b) + z[c][d] * (y - a) * (x - b)
+    found = {(r.row, r.col): r.elev for r in got.collect()}
+    assert found.keys() == expected.keys() and cell_m == pytest.approx(max(50.0, target))
+    assert all(found[k] == pytest.approx(v, rel=1e-9) for k, v in expected.items())
+    with pytest.raises(ValueError, match="too many"):
+        raster.resampled(cells, rows, cols, 50.0, target, 0)
