@@ -230,12 +230,13 @@ def report_text(spark, sf_dir):
 @query()
 def resample_angular(spark, sf_dir):
     """Hulls of the landings of each fire, resampled by angle: grouped, since a hull needs its points together."""
+    import numpy as np
     import pandas as pd
 
     from emberline.operators.huygens import _thinned
 
     def hull(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        points = _thinned(group[["lat", "lng"]].to_numpy())
+        points = _thinned(group[["lat", "lng"]].to_numpy(), np.zeros(len(group), int), 1)[0]
         return pd.DataFrame({"sim": key[0], "k": range(len(points)), "lat": points[:, 0], "lng": points[:, 1]})
 
     distinct = V.spots(spark, sf_dir).select("sim", "lat", "lng").distinct()

@@ -351,7 +351,8 @@ DAYS = 7
 @query()
 def multiday(spark, sf_dir):
     """Up to DAYS days of one fire per station, each of 24 hours: each day's codes from the chain, its front from the day before."""
-    grid = fuel_grid(spark, sf_dir)
+    cells, extent = fuel_grid(spark, sf_dir)
+    grid = (cut(cells), extent)  # read by every day
     days = weather.chain(spark, sf_dir).where(F.col("day") <= DAYS).select(F.col("station").alias("sim"), "day", "ffmc", "dmc", "dc", "wind")
     days = cut(days)
     front, out = None, None

@@ -211,3 +211,35 @@ def test_rays_of_the_kernel_are_those_of_the_projection(spark):
         wave = huygens._Wave(np.array([[(r.north_m, r.east_m) for r in base]]), np.array([[r.reach for r in base]]), np.array([[[t.weight, t.b, t.c] for t in x.terms]]), np.array([x.ros_surface]), x.isi)
         ground = huygens._Grid(np.zeros((1, 1), np.int8), {"slope": np.array([[35.0]]), "aspect": np.array([[200.0]])}, (50.0, 52.0, -115.0, -113.0))
         np.testing.assert_allclose(wave.of(np.array([0]), np.array([[51.0, -114.0]]), ground)[0], [tuple(r) for r in by_column], rtol=1e-9, atol=1e-9)
+
+
+def test_hulls_of_many_sets_are_those_of_each():
+    """Against the plain hull: sets of chance, on a lattice (ties, repeated points), on a line, on an ellipse, and of one point."""
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        sets = []
+        for kind in rng.integers(0, 5, 4):
+            m = int(rng.choice([4, 12, 200, 1500]))
+            turn = rng.uniform(0, 2 * np.pi, m)
+            sets.append((rng.normal(size=(m, 2)), np.round(rng.normal(size=(m, 2)) * 4), np.outer(rng.integers(0, 9, m), [1.0, 2.0]), np.stack([np.cos(turn), 2 * np.sin(turn)], 1), np.ones((m, 2)))[kind])
+        part = np.repeat(np.arange(4), [len(x) for x in sets])
+        order, turn = huygens._hulls(np.concatenate(sets), part, 4)
+        for k, x in enumerate(sets):
+            mine = part[order] == k
+            assert sorted(map(tuple, np.concatenate(sets)[order[mine]])) == sorted(G.convex_hull(list(map(tuple, x))))
+            assert (np.diff(turn[mine]) >= 0).all()
+
+
+def test_fires_grown_together_are_as_alone(spark, monkeypatch):
+    """Fires of unlike weather, duration and start in one task, on a grid with a barrier, slopes and embers; each is followed step by step alone."""
+    c = _slope_cells(spark, 20.0, 1.2).withColumn("fuel", F.when(F.col("col") == 44, None).otherwise(F.col("fuel")))
+    extent = (51.0, 51.04, -114.0, -113.96)
+    rows = [(k, w, 51.01 + 0.002 * k, h) for k, (w, h) in enumerate([(10.0, 0.4), (45.0, 1.0), (60.0, 0.25), (0.0, 0.5)])]
+    keys = spark.createDataFrame(rows, "sim long, wind double, lat double, hours double")
+    base = scenario(spark, lng=-113.982).withColumn("fuel", F.lit("C2")).drop("sim", "wind", "lat", "hours").crossJoin(keys)
+    show = lambda s: [tuple(r) for r in huygens.frames(s, c, extent).orderBy("sim", "idx").collect()]
+    with monkeypatch.context() as m:  # two tasks for four fires
+        m.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda _: 1))
+        together = show(base)
+    assert together == [r for k in range(4) for r in show(base.where(F.col("sim") == k))]
+    assert max(r[3] for r in together) > 1 and {r[0]: r[2] for r in together} == {0: 0.4, 1: 1.0, 2: 0.25, 3: 0.5}
