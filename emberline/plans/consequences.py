@@ -104,13 +104,13 @@ def evac_history(spark, sf_dir):
     return C.with_history(found.select("sim", "community", "tier", "rank"), history).groupBy("sim", "tier", "source").agg(F.count("*").alias("n"))
 
 
-_CELL = "CAST(least(49, greatest(0, floor((53.8::DOUBLE - lat) / (53.8::DOUBLE - 53.3::DOUBLE) * 50))) AS INTEGER) AS row, CAST(least(39, greatest(0, floor((lng - (-113.8::DOUBLE)) / (-113.2::DOUBLE - (-113.8::DOUBLE)) * 40))) AS INTEGER) AS col"
+_CELL = S.cell("lat", "lng")
 
 
 @query(S.query("v_asset v_prob", f"WITH a AS (SELECT asset, layer, {_CELL} FROM v_asset) SELECT layer, count(*) AS n, count(*) FILTER (coalesce(p, 0) >= 0.5) AS at_risk FROM a LEFT JOIN v_prob p ON a.row = p.row AND a.col = p.col GROUP BY layer"))
 def at_risk_assets(spark, sf_dir):
     """Assets by layer, and those in cells that burn in half of the runs."""
-    row, col, _ = spatial.cell_of(F.col("lat"), F.col("lng"), (V.LAT_MIN, V.LAT_MAX, V.LNG_MIN, V.LNG_MAX), 50, 40)
+    row, col, _ = spatial.cell_of(F.col("lat"), F.col("lng"), (V.LAT_MIN, V.LAT_MAX, V.LNG_MIN, V.LNG_MAX), V.n_rows(spark, sf_dir), V.COLS)
     a = V.assets(spark, sf_dir).select("asset", "layer", row.alias("row"), col.alias("col"))
     x = a.join(V.probabilities(spark, sf_dir), ["row", "col"], "left")
     return x.groupBy("layer").agg(F.count("*").alias("n"), F.count_if(F.coalesce("p", F.lit(0.0)) >= 0.5).alias("at_risk"))

@@ -44,14 +44,10 @@ def fuel_summary_rollup(spark, sf_dir):
     return x.crossJoin(F.broadcast(n)).select(F.when(F.col("g") == 1, "all").otherwise(F.coalesce("fuel", F.lit("non-fuel"))).alias("fuel"), "n", r(100.0 * F.col("n") / F.col("cells")).alias("percent"))
 
 
-_ROW = "CAST(least(49, greatest(0, floor((53.8::DOUBLE - lat) / (53.8::DOUBLE - 53.3::DOUBLE) * 50))) AS INTEGER)"
-_COL = "CAST(least(39, greatest(0, floor((lng - (-113.8::DOUBLE)) / (-113.2::DOUBLE - (-113.8::DOUBLE)) * 40))) AS INTEGER)"
-
-
-@query(S.query("v_asset v_cell codes", f"{_FUEL}, a AS (SELECT asset, {_ROW} AS row, {_COL} AS col FROM v_asset) SELECT a.asset, a.row, a.col, coalesce(g.fuel, 'none') AS fuel FROM a LEFT JOIN g ON a.row = g.row AND a.col = g.col"))
+@query(S.query("v_asset v_cell codes", f"{_FUEL}, a AS (SELECT asset, {S.cell('lat', 'lng')} FROM v_asset) SELECT a.asset, a.row, a.col, coalesce(g.fuel, 'none') AS fuel FROM a LEFT JOIN g ON a.row = g.row AND a.col = g.col"))
 def cell_lookup(spark, sf_dir):
     """The fuel under each asset."""
-    row, col, inside = spatial.cell_of(F.col("lat"), F.col("lng"), EXTENT, 50, 40)
+    row, col, inside = spatial.cell_of(F.col("lat"), F.col("lng"), EXTENT, V.n_rows(spark, sf_dir), V.COLS)
     a = V.assets(spark, sf_dir).select("asset", F.when(inside, row).alias("row"), F.when(inside, col).alias("col"))
     return a.join(fuel_cells(spark, sf_dir).select("row", "col", "fuel"), ["row", "col"], "left").select("asset", "row", "col", F.coalesce("fuel", F.lit("none")).alias("fuel"))
 
@@ -78,17 +74,17 @@ def wui_modifiers(spark, sf_dir):
 
 
 _RECTS = "rects AS (SELECT lat0 + 0.013::DOUBLE AS lat_lo, lat0 + 0.037::DOUBLE AS lat_hi, lng0 + 0.011::DOUBLE AS lng_lo, lng0 + 0.052::DOUBLE AS lng_hi FROM v_zone)"
-_MASK = f"""{_RECTS}, grid AS (SELECT CAST(a.range AS INTEGER) AS row, CAST(b.range AS INTEGER) AS col FROM range(50) a CROSS JOIN range(40) b),
-mask AS (SELECT DISTINCT row, col FROM grid JOIN rects ON round((53.8::DOUBLE - lat_hi) / 0.01::DOUBLE, 9) < row + 1 AND round((53.8::DOUBLE - lat_lo) / 0.01::DOUBLE, 9) > row AND round((lng_lo + 113.8::DOUBLE) / 0.015::DOUBLE, 9) < col + 1 AND round((lng_hi + 113.8::DOUBLE) / 0.015::DOUBLE, 9) > col)"""
+_MASK = f"""{_RECTS}, size AS (SELECT (53.8::DOUBLE - 53.3::DOUBLE) / {S.N_ROWS} AS dy), grid AS (SELECT CAST(a.row AS INTEGER) AS row, CAST(b.range AS INTEGER) AS col, dy FROM (SELECT unnest(range({S.N_ROWS})) AS row) a CROSS JOIN range(40) b CROSS JOIN size),
+mask AS (SELECT DISTINCT row, col FROM grid JOIN rects ON round((53.8::DOUBLE - lat_hi) / dy, 9) < row + 1 AND round((53.8::DOUBLE - lat_lo) / dy, 9) > row AND round((lng_lo + 113.8::DOUBLE) / 0.015::DOUBLE, 9) < col + 1 AND round((lng_hi + 113.8::DOUBLE) / 0.015::DOUBLE, 9) > col)"""
 
 
 def barriers(spark, sf_dir):
     z = V.zones(spark, sf_dir)
     rects = z.select((F.col("lat0") + 0.013).alias("lat_lo"), (F.col("lat0") + 0.037).alias("lat_hi"), (F.col("lng0") + 0.011).alias("lng_lo"), (F.col("lng0") + 0.052).alias("lng_hi"))
-    return raster.touched(rects, EXTENT, 50, 40)
+    return raster.touched(rects, EXTENT, V.n_rows(spark, sf_dir), V.COLS)
 
 
-@query(S.query("v_zone", f"WITH {_MASK} SELECT row, col FROM mask"))
+@query(S.query("v_cell v_zone", f"WITH {_MASK} SELECT row, col FROM mask"))
 def env_mask(spark, sf_dir):
     """Cells that a barrier touches."""
     return barriers(spark, sf_dir)
@@ -133,7 +129,7 @@ def _areas_sql() -> str:
 @query(S.query("v_cell v_zone", f"WITH {_areas_sql()} SELECT area, CAST(row AS INTEGER) AS row, col FROM touched"))
 def area_cells(spark, sf_dir):
     """Cells of the whole grid that areas with holes and parts touch."""
-    n_rows = V.cells(spark, sf_dir).agg(F.max("row") + 1).first()[0]
+    n_rows = V.n_rows(spark, sf_dir)
     return rasterise.cells_touched(areas(spark, sf_dir), EXTENT, n_rows, V.COLS)
 
 
@@ -192,7 +188,7 @@ def _mosaic_sql() -> str:
 @query(S.query("v_cell", _mosaic_sql()))
 def synthetic_mosaic(spark, sf_dir):
     """A synthetic fuel map as large as the grid of the table, lit in its middle."""
-    n_rows = V.cells(spark, sf_dir).agg(F.max("row") + 1).first()[0]
+    n_rows = V.n_rows(spark, sf_dir)
     return raster.mosaic(spark, n_rows, V.COLS, 7, (n_rows // 2, V.COLS // 2))
 
 
@@ -244,7 +240,7 @@ SELECT every.sim, every.step, coalesce(n, 0) AS n_active, round(coalesce(mean, 0
 def active_rates(spark, sf_dir):
     """Mean rate of the cells that burn in each step, for fires that grow by a ring of cells a step, one for each 100 rows of the grid."""
     c = fuel_cells(spark, sf_dir).where("fuel is not null")
-    n_rows = V.cells(spark, sf_dir).agg(F.max("row") + 1).first()[0]
+    n_rows = V.n_rows(spark, sf_dir)
     step = F.greatest(F.abs(F.col("row") - n_rows // 2), F.abs(F.col("col") - V.COLS // 2)).cast("int")
     lit = c.join(F.broadcast(rates_of_fuels(spark)), "fuel").select(F.floor(F.col("row") / 100).alias("sim"), step.alias("step"), "ros")  # one row a fuel
     return cellular.active_rates(lit, 1.0, CELL_M, 240).select("sim", "step", "n_active", r("mean_ros"))

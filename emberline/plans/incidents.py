@@ -105,12 +105,13 @@ def probability_cells(spark, sf_dir):
     return p.select(F.explode(reached).alias("percent"), "row", "col")
 
 
-@query(S.query("v_frame v_cell codes", f"""{_FUEL}, {P._RING.replace('WITH ', '')}, c AS (SELECT sim, CAST(least(49, greatest(0, floor((53.8::DOUBLE - plat) / (53.8::DOUBLE - 53.3::DOUBLE) * 50))) AS INTEGER) AS row, CAST(least(39, greatest(0, floor((plng - (-113.8::DOUBLE)) / (-113.2::DOUBLE - (-113.8::DOUBLE)) * 40))) AS INTEGER) AS col FROM ring)
+@query(S.query("v_frame v_cell codes", f"""{_FUEL}, {P._RING.replace('WITH ', '')}, c AS (SELECT sim, {S.cell('plat', 'plng')} FROM ring)
 SELECT sim, coalesce(fuel, 'none') AS fuel, round(count(*) / sum(count(*)) OVER (PARTITION BY sim), 6) AS share FROM c LEFT JOIN g ON c.row = g.row AND c.col = g.col GROUP BY sim, coalesce(fuel, 'none')"""))
 def front_fuel(spark, sf_dir):
     """Shares of the fuels under the vertices of each fire's fronts."""
+    n_rows = V.n_rows(spark, sf_dir)
     v = V.frames(spark, sf_dir).select("sim", F.explode("perimeter").alias("p"))
-    row, col, _ = spatial.cell_of(F.col("p.lat"), F.col("p.lng"), EXTENT, 50, 40)
+    row, col, _ = spatial.cell_of(F.col("p.lat"), F.col("p.lng"), EXTENT, n_rows, V.COLS)
     x = v.select("sim", row.alias("row"), col.alias("col")).groupBy("sim", "row", "col").agg(F.count("*").alias("n"))
     x = x.join(fuel_cells(spark, sf_dir).select("row", "col", "fuel"), ["row", "col"], "left").groupBy("sim", F.coalesce("fuel", F.lit("none")).alias("fuel")).agg(F.sum("n").alias("n"))
     return x.select("sim", "fuel", r(F.col("n") / F.sum("n").over(Window.partitionBy("sim"))).alias("share"))
@@ -151,9 +152,9 @@ UNION ALL SELECT 'probability', count(*) FROM v_prob WHERE p >= 0.05 UNION ALL S
 def export_bundle(spark, sf_dir):
     """Features of the whole export by its six layers."""
     found = exports.features(V.frames(spark, sf_dir), V.spots(spark, sf_dir)).select("layer", "feature")
-    p = V.probabilities(spark, sf_dir)
-    cells = p.where("p >= 0.05").select(F.lit("probability").alias("layer"), exports.cell(F.col("row"), F.col("col"), EXTENT, 50, 40, F.col("p")).alias("feature"))
-    row, col, _ = spatial.cell_of(F.col("lat"), F.col("lng"), EXTENT, 50, 40)
+    p, n_rows = V.probabilities(spark, sf_dir), V.n_rows(spark, sf_dir)
+    cells = p.where("p >= 0.05").select(F.lit("probability").alias("layer"), exports.cell(F.col("row"), F.col("col"), EXTENT, n_rows, V.COLS, F.col("p")).alias("feature"))
+    row, col, _ = spatial.cell_of(F.col("lat"), F.col("lng"), EXTENT, n_rows, V.COLS)
     named = F.to_json(F.struct("name"))
     assets = V.assets(spark, sf_dir).withColumns({"row": row, "col": col}).join(p.where("p >= 0.5"), ["row", "col"]).select(F.lit("at risk").alias("layer"), exports.point(F.col("lat"), F.col("lng"), named).alias("feature"))
     targets = spark.createDataFrame([(h, t) for t, _, h, _ in C.TIERS], "target double, tier string")

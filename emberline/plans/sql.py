@@ -157,3 +157,12 @@ w5 AS (SELECT *, CASE WHEN cfb >= 0.9 THEN 'active_crown' WHEN cfb > 0.1 THEN 'p
   ros_surface + cfb * (CASE WHEN cfb > 0 AND cbd >= 0.05 THEN ros_surface * least(1.0::DOUBLE + (cbd - 0.05::DOUBLE) / 0.1::DOUBLE, 3.0::DOUBLE) ELSE ros_surface END - ros_surface) AS ros_final, sfc + cfl * cfb AS tfc FROM w4),
 w6 AS (SELECT *, 18000.0::DOUBLE * tfc * ros_final / 60.0::DOUBLE AS hfi FROM w5),
 fbp AS (SELECT *, CASE WHEN hfi <= 0 THEN 0.0::DOUBLE ELSE 0.0775::DOUBLE * pow(hfi, 0.46::DOUBLE) END AS flame FROM w6)"""
+
+
+N_ROWS = "(SELECT max(row) + 1 FROM v_cell)"
+
+
+def cell(lat: str, lng: str) -> str:
+    """Row and column of a place in the grid of v_cell."""
+    row = f"CAST(least({N_ROWS} - 1, greatest(0, floor((53.8::DOUBLE - {lat}) / (53.8::DOUBLE - 53.3::DOUBLE) * {N_ROWS}))) AS INTEGER) AS row"
+    return f"{row}, CAST(least(39, greatest(0, floor(({lng} - (-113.8::DOUBLE)) / (-113.2::DOUBLE - (-113.8::DOUBLE)) * 40))) AS INTEGER) AS col"

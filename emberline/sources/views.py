@@ -75,6 +75,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.floor(k / COLS).cast("int").alias("row"), (k % COLS).cast("int").alias("col"), code.alias("code"), F.col("p_retailprice").alias("elev"))
 
 
+def n_rows(spark: SparkSession, sf_dir: str) -> int:
+    """How many rows of cells the grid has; they reach over the whole extent, from north to south."""
+    return (cells(spark, sf_dir).agg(F.max("row")).first()[0] or 0) + 1
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame per observation: a circle that grows by the hour, with the intensity of the day."""
     o = observations(spark, sf_dir)

@@ -108,3 +108,20 @@ def test_resampled_elevations_are_bilinear(spark, rows, cols, target):
     assert all(found[k] == pytest.approx(v, rel=1e-9) for k, v in expected.items())
     with pytest.raises(ValueError, match="too many"):
         raster.resampled(cells, rows, cols, 50.0, target, 0)
+
+
+def test_grid_queries_take_the_rows_of_the_table(spark):
+    """Places and barriers fall into cells of the grid that the table has, and reach its last row."""
+    from emberline.plans import grids
+    from emberline.sources import views
+
+    sf = "/root/testdata/sf0.001"
+
+    n = views.n_rows(spark, sf)
+    assert n == views.cells(spark, sf).agg(F.max("row")).first()[0] + 1 != 50
+    found = grids.cell_lookup(spark, sf).agg(F.min("row"), F.max("row")).first()
+    assert 0 <= found[0] and found[1] == n - 1
+    mask = {(r.row, r.col) for r in grids.env_mask(spark, sf).collect()}
+    assert mask and all(0 <= r < n and 0 <= c < views.COLS for r, c in mask)
+    cells = {(r.row, r.col) for r in views.cells(spark, sf).collect()}
+    assert grids.mask_apply(spark, sf).agg(F.sum("masked")).first()[0] == len(mask & cells)
