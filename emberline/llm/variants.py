@@ -147,7 +147,8 @@ def _near_in_unit(here: tuple[str, int], length: int, inner: bool, held: list[st
         for g in x.grams:
             postings[g].append(k)
     least = max(1, length + 2 * marks + 1 - 2 * q)  # grams of the longer word that one edit leaves
-    for a, below in [(_Word(x, q, ends), len(indexed)) for x in asking] + ([(x, k) for k, x in enumerate(indexed) if k] if inner else []):
+    # a word asks twice at one place if its rarest grams hold one gram at two places in a row
+    for a, below in [(_Word(x, q, ends), len(indexed)) for x in dict.fromkeys(asking)] + ([(x, k) for k, x in enumerate(indexed) if k] if inner else []):
         lists = [x for g in a.grams if (x := postings.get(g))]
         if len(a.word) < length:
             lists += [x for gram, place in a.grams if (x := postings.get((gram, place + 1)))]

@@ -135,6 +135,14 @@ def test_variants_of_short_and_no_words(spark):
     same(variants.spelling_variants(table(spark, [])), [])
 
 
+def test_a_gram_at_two_places_in_a_row_counts_a_near_word_once(spark):
+    """The rarest grams of the first word hold one that stands at two places in a row, so it comes twice to the place where it meets the second."""
+    n = {"aaaacdefg": 5, "baaaacdefg": 40} | {f"{x}{x}aacdefg": 6 for x in "klmnopq"} | {"a" * k: 5 * 6 ** (k - 6) for k in range(6, 11)} | {"b" + "a" * k: 5 + k for k in range(5, 9)}
+    vocabulary = spark.createDataFrame([*n.items()], "word string, n long")
+    same(variants.variants(vocabulary.where("word like '%cdefg'"), least_letters=6), plain_variants({w: k for w, k in n.items() if w.endswith("cdefg")}))
+    same(variants.variants(vocabulary, least_letters=6, block=1), plain_variants(n))
+
+
 def test_merged_postings_are_counts():
     rng = random.Random(3)
     for _ in range(200):
