@@ -46,6 +46,14 @@ def test_relational_step_equals_the_kernel(spark):
     assert {(x.row, x.col) for x in lit.collect()} == {(int(a), int(b)) for a, b, k, _ in kernel if k == 0}
 
 
+def test_relational_step_takes_rows_beyond_int_keys(spark):
+    """A cell's key, row * 100000 + col, is beyond 2^31 from row 21,475 on."""
+    cells = spark.createDataFrame([(r, c) for r in range(29_998, 30_001) for c in range(3)], "row int, col int").withColumn("carry", F.lit(0.0))
+    one = cells.where("row = 29999 AND col = 1").select("row", "col")
+    burning = one.selectExpr("*", "200.0D ros", "100000.0D fi", "1.0D lbr", "90.0D toward", "0.0D slope", "0.0D aspect")
+    assert cellular.one_step(burning, cells, one, 11, 4, 50.0, 1.0).count() == 8
+
+
 def test_ignition_snaps_to_fuel(spark):
     c = spark.createDataFrame([(0, 0, None), (0, 1, None), (3, 3, "C2"), (0, 3, "D1")], "row int, col int, fuel string")
     r = cellular.snapped(c, 0, 0).first()
