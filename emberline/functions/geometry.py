@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 M_PER_DEG = 111320.0
@@ -97,9 +97,9 @@ def closed(ring: Column) -> Column:
     return F.concat(ring, F.slice(ring, 1, 1))
 
 
-def scaled(ring: Column, factor: Column) -> Column:
-    """The ring, scaled about the mean of its vertices."""
-    c = vertex_mean(ring)
+def scaled(ring: Column, factor: Column, middle: Column | None = None) -> Column:
+    """The ring, scaled about the mean of its vertices, which may be given as a column."""
+    c = vertex_mean(ring) if middle is None else middle
     return F.transform(ring, lambda p: F.struct((c["lat"] + (p["lat"] - c["lat"]) * factor).alias("lat"), (c["lng"] + (p["lng"] - c["lng"]) * factor).alias("lng")))
 
 
@@ -126,6 +126,18 @@ def ellipse_ring(lat: Column, lng: Column, head: Column, lbr: Column, bearing: C
     return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: point(F.pmod(i, F.lit(n))))
 
 
+def ellipse_points(df: DataFrame, lat: float, lng: float, head: Column, lbr: Column, bearing: Column, minutes: float, n: int = 72) -> DataFrame:
+    """df with a row for each point of ellipse_ring: i and the point's lat and lng. What a scenario's points share is computed once, and the table of angles is a constant."""
+    own = {"__a": (head + back_ros(head, lbr)) * minutes / 2.0, "__ahead": (head - back_ros(head, lbr)) * minutes / 2.0, "__lbr": lbr, "__cos": F.cos(bearing * _RAD), "__sin": F.sin(bearing * _RAD)}
+    angles = [F.lit(i % n).cast("int") * (2.0 * math.pi / n) for i in range(n + 1)]
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.cos(t).alias("u"), F.sin(t).alias("v")) for i, t in enumerate(angles)])
+    # the rows are made by a generator, below which the shared columns stay
+    x = df.select("*", *[c.alias(k) for k, c in own.items()]).select("*", F.explode(table).alias("__p"))
+    along, across = F.col("__ahead") + F.col("__a") * F.col("__p.u"), F.col("__a") / F.col("__lbr") * F.col("__p.v")
+    north, east = along * F.col("__cos") - across * F.col("__sin"), along * F.col("__sin") + across * F.col("__cos")
+    return x.select(*df.columns, F.col("__p.i").alias("i"), (lat + north / M_PER_DEG).alias("lat"), (lng + east / m_per_deg_lng(F.lit(lat))).alias("lng"))
+
+
 def geojson(ring: Column, properties: Column) -> Column:
     """A GeoJSON feature of the ring, closed once; an empty ring has no coordinates."""
     points = F.array_join(F.transform(closed(ring), lambda p: F.concat(F.lit("["), F.round(p["lng"], 6).cast("decimal(12,6)").cast("string"), F.lit(","), F.round(p["lat"], 6).cast("decimal(12,6)").cast("string"), F.lit("]"))), ",")

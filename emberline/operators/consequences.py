@@ -14,23 +14,28 @@ TIERS = (("Order", 3, 2.0, "LEAVE NOW"), ("Alert", 2, 6.0, "BE READY (~30 min)")
 ISO_HOURS = (1.0, 2.0, 4.0, 8.0)
 
 
-def closest_frames(frames: DataFrame, targets: DataFrame, slack: float, by: str = "sim") -> DataFrame:
+def closest_frames(frames: DataFrame, targets: DataFrame, slack: float, by: str = "sim", shape: Column | None = None) -> DataFrame:
     """targets (target, ...) with, per fire, the frame nearest in time to each (the earlier on a tie), if the fire lasts to target - slack.
 
-    Frames with fewer than 3 points don't count. Targets are few; each frame is compared with all in one pass without a self-join.
+    Frames with fewer than 3 points don't count. Targets are few; each frame is compared with all in one pass without a self-join. shape: the perimeter, of 3 points or more, as an
+    expression over other columns of the frames, which then has to be made for the frames found alone, and doesn't move with all others.
     """
     last = Window.partitionBy(by)
-    f = frames.withColumn("__last", F.max("t").over(last)).where(F.size("perimeter") >= 3)
+    f = frames if shape is None else frames.drop("perimeter")
+    f = f.withColumn("__last", F.max("t").over(last))
+    f = f.where(F.size("perimeter") >= 3) if shape is None else f
     met = f.crossJoin(F.broadcast(targets)).where(F.col("target") <= F.col("__last") + slack)
     others = [c for c in targets.columns if c != "target"]
-    best = met.groupBy(by, "target", *others).agg(F.min_by(F.struct("idx", "t", "perimeter"), F.struct(F.abs(F.col("t") - F.col("target")), "idx")).alias("f"))
-    return best.select(by, "target", *others, "f.*")
+    kept = ["idx", "t", "perimeter"] if shape is None else ["idx", "t", *[c for c in frames.columns if c not in (by, "idx", "t", "perimeter")]]
+    best = met.groupBy(by, "target", *others).agg(F.min_by(F.struct(*kept), F.struct(F.abs(F.col("t") - F.col("target")), "idx")).alias("f")).select(by, "target", *others, "f.*")
+    # by a generator, so that what uses the perimeter reads it as a column and doesn't compute it again
+    return best if shape is None else best.select(by, "target", *others, "idx", "t", F.explode(F.array(shape)).alias("perimeter"))
 
 
-def isochrones(spark: SparkSession, frames: DataFrame, hours=ISO_HOURS) -> DataFrame:
+def isochrones(spark: SparkSession, frames: DataFrame, hours=ISO_HOURS, shape: Column | None = None) -> DataFrame:
     """(sim, target, label, idx, t, perimeter): contours of the hours; hours that come to one frame keep the first."""
     targets = spark.createDataFrame([(float(h),) for h in hours], "target double")
-    x = closest_frames(frames, targets, 0.5)
+    x = closest_frames(frames, targets, 0.5, shape=shape)
     first = Window.partitionBy("sim", "idx").orderBy("target")
     return x.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").withColumn("label", A.hours_label(F.col("target")))
 
@@ -40,12 +45,15 @@ def northernmost(ring: Column) -> Column:
     return F.element_at(F.array_sort(F.transform(ring, lambda p, i: F.struct((-p["lat"]).alias("k"), i.alias("i"), p.alias("p")))), 1)["p"]
 
 
-def evacuation(spark: SparkSession, frames: DataFrame, communities: DataFrame, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Tiers of each fire (sim, tier, rank, area_ha), and communities (community, lat, lng) in them, each in its most urgent tier."""
+def evacuation(spark: SparkSession, frames: DataFrame, communities: DataFrame, scale: float = 1.0, shape: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tiers of each fire (sim, tier, rank, area_ha), and communities (community, lat, lng and what else they have) in them, each in its most urgent tier."""
     targets = spark.createDataFrame([(h, t, k) for t, k, h, _ in TIERS], "target double, tier string, rank int")
-    x = closest_frames(frames, targets, 1.0).withColumn("ring", G.scaled(F.col("perimeter"), F.lit(float(scale))))
+    x = closest_frames(frames, targets, 1.0, shape=shape)
+    x = x.select("*", F.explode(F.array(G.vertex_mean(F.col("perimeter")))).alias("__c"))  # once, not for each point
+    x = x.select("sim", "tier", "rank", F.explode(F.array(G.scaled(F.col("perimeter"), F.lit(float(scale)), F.col("__c")))).alias("ring"))
     inside = spatial.points_in_areas(communities, x.select("sim", "tier", "rank", "ring"))
-    found = inside.groupBy("sim", "community").agg(F.max_by("tier", "rank").alias("tier"), F.max("rank").alias("rank"))
+    others = [F.any_value(c).alias(c) for c in communities.columns if c not in ("community", "lat", "lng")]
+    found = inside.groupBy("sim", "community").agg(F.max_by("tier", "rank").alias("tier"), F.max("rank").alias("rank"), *others)
     return x.select("sim", "tier", "rank", G.area_ha(F.col("ring")).alias("area_ha")), found
 
 

@@ -68,7 +68,7 @@ def wui_modifiers(spark, sf_dir):
     """Multipliers of the first zone that holds a cell's middle; 1 elsewhere."""
     m = _middles(V.cells(spark, sf_dir).select("row", "col"))
     z = V.zones(spark, sf_dir)
-    met = spatial.points_in_areas(m, z.withColumn("ring", V.zone_ring()).select("zone", "ring")).groupBy("row", "col").agg(F.min("zone").alias("zone"))
+    met = spatial.points_in_areas(m, z.withColumn("ring", V.zone_ring()).select("zone", "ring"), few=True).groupBy("row", "col").agg(F.min("zone").alias("zone"))
     x = m.join(met, ["row", "col"], "left").join(z, "zone", "left")
     return x.select("row", "col", F.coalesce("zone", F.lit(-1)).alias("zone"), r(F.coalesce("ros_mult", F.lit(1.0))).alias("ros_mult"), r(F.coalesce("ember_mult", F.lit(1.0))).alias("ember_mult"))
 

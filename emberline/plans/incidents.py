@@ -54,10 +54,10 @@ def day_offsets(spark, sf_dir):
 @query(S.query("v_frame v_asset", f"WITH {P._INSIDE}, x AS (SELECT community, sim, rank, max(CASE WHEN rank >= 2 THEN rank ELSE 0 END) OVER (PARTITION BY community ORDER BY sim ROWS UNBOUNDED PRECEDING) AS reached FROM tiers) SELECT sim, rank, reached, count(*) AS n FROM x GROUP BY ALL"))
 def tiers_reached(spark, sf_dir):
     """The highest tier (Order or Alert) that communities have reached so far, fire after fire."""
-    _, found = C.evacuation(spark, V.frames(spark, sf_dir), P.communities(spark, sf_dir))
+    _, found = P.evacuation(spark, sf_dir, P.places(spark, sf_dir))
     so_far = Window.partitionBy("community").orderBy("sim").rowsBetween(Window.unboundedPreceding, 0)
     x = found.withColumn("reached", F.max(F.when(F.col("rank") >= 2, F.col("rank")).otherwise(0)).over(so_far))
-    return x.groupBy("sim", "rank", "reached").agg(F.count("*").alias("n"))
+    return x.groupBy("sim", "rank", "reached").agg(F.sum("n").alias("n"))
 
 
 @query(S.query("v_obs", "SELECT station, day, last_value(CASE WHEN kind = 'view' THEN round(wind, 6) END IGNORE NULLS) OVER (PARTITION BY station ORDER BY day ROWS UNBOUNDED PRECEDING) AS wind, coalesce(rain, 0) AS rain FROM v_obs"))

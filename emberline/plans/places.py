@@ -79,7 +79,7 @@ _RAY = "(lat0 > lat) <> (lat0 + 0.1::DOUBLE > lat) AND lng < lng0 + 0.12::DOUBLE
 
 @query(S.query("v_asset v_zone", f"SELECT zone, layer, count(*) AS n FROM v_asset JOIN v_zone ON {_RAY} GROUP BY zone, layer"))
 def assets_in_zone(spark, sf_dir):
-    x = spatial.points_in_areas(V.assets(spark, sf_dir), _zones(spark, sf_dir).select("zone", "ring"))
+    x = spatial.points_in_areas(V.assets(spark, sf_dir), _zones(spark, sf_dir).select("zone", "ring"), few=True)
     return x.groupBy("zone", "layer").agg(F.count("*").alias("n"))
 
 
@@ -91,7 +91,7 @@ def zone_assign_fallback(spark, sf_dir):
     """The zone that holds an asset, else the one with the nearest middle."""
     a = V.assets(spark, sf_dir).select("asset", (F.col("lat") * 1.002).alias("lat"), "lng")
     z = _zones(spark, sf_dir)
-    inside = spatial.points_in_areas(a, z.select("zone", "ring")).groupBy("asset").agg(F.min("zone").alias("zone"))
+    inside = spatial.points_in_areas(a, z.select("zone", "ring"), few=True).groupBy("asset").agg(F.min("zone").alias("zone"))
     near = _nearest_zones(a.join(inside, "asset", "left_anti"), z, 1)
     return inside.select("asset", "zone", F.lit(True).alias("inside")).unionByName(near.select("asset", "zone", F.lit(False).alias("inside")))
 
@@ -99,7 +99,7 @@ def zone_assign_fallback(spark, sf_dir):
 @query(S.query("v_asset v_zone", f"WITH x AS (SELECT a.asset, min(zone) AS zone FROM v_asset a LEFT JOIN v_zone ON {_RAY.replace('lng <', 'a.lng <').replace('NOT lng', 'NOT a.lng')} GROUP BY a.asset) SELECT coalesce(CAST(zone AS VARCHAR), 'unassigned') AS zone, count(*) AS n FROM x GROUP BY 1"))
 def zone_totals(spark, sf_dir):
     a = V.assets(spark, sf_dir).select("asset", "lat", "lng")
-    x = spatial.points_in_areas(a, _zones(spark, sf_dir).select("zone", "ring")).groupBy("asset").agg(F.min("zone").alias("zone"))
+    x = spatial.points_in_areas(a, _zones(spark, sf_dir).select("zone", "ring"), few=True).groupBy("asset").agg(F.min("zone").alias("zone"))
     return a.join(x, "asset", "left").groupBy(F.coalesce(F.col("zone").cast("string"), F.lit("unassigned")).alias("zone")).agg(F.count("*").alias("n"))
 
 

@@ -86,7 +86,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = (F.col("day") - 1).cast("int")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("surface", "surface_with_torching", "passive_crown", "active_crown")]), (F.floor(F.col("value")) % 4 + 1).cast("int"))
     f = o.select(F.col("station").alias("sim"), idx.alias("idx"), (idx * 0.5).alias("t"), (F.col("wind") * 0.5).alias("ros"), (F.col("value") * 20.0).alias("hfi"), kind.alias("fire_type"), (53.55 + F.col("station").cast("double") * 0.0001).alias("lat"), F.lit(-113.5).alias("lng"), (30.0 + 40.0 * idx).alias("radius"), "event_id", "kind")
-    return f.withColumn("perimeter", G.circle(F.col("lat"), F.col("lng"), F.col("radius")))
+    return f.withColumn("perimeter", perimeter())
+
+
+def perimeter() -> Column:
+    """Of a frame, from its lat, lng and radius."""
+    return G.circle(F.col("lat"), F.col("lng"), F.col("radius"))
 
 
 def spots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,15 @@ def test_points_in_areas_of_many_buckets(spark):
     assert {r.k for r in spatial.points_in_areas(p, area).collect()} == {1, 2}
 
 
+def test_many_areas_are_not_sent_through_the_driver(spark):
+    """Their table is small, what they come to when they are spread over buckets isn't; only areas said to be few may be broadcast."""
+    p = spark.range(40).selectExpr("id k", "53.5 + id / 1000.0D lat", "-113.5D lng")
+    areas = spark.range(300).select("id", G.circle(F.col("id") * 0.0 + 53.5, F.lit(-113.5), F.col("id") * 10.0 + 30.0).alias("ring"))
+    x = spatial.points_in_areas(p, areas)
+    assert "SortMergeJoin" in x._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, x.select("k", "id").collect())) == sorted(map(tuple, spatial.points_in_areas(p, areas, few=True).select("k", "id").collect()))
+
+
 def test_more_places_are_looked_for_in_smaller_buckets(spark):
     """With as many points and places at one spot again, each point still gets the smallest of the nearest."""
     s = spark.range(4000).selectExpr("id s", "53 + (id * 7 % 50) / 100.0D slat", "-113 - (id * 11 % 60) / 100.0D slng")
@@ -49,6 +58,21 @@ def test_more_places_are_looked_for_in_smaller_buckets(spark):
     assert all(got[r.k] == min((round(km(r.lat, r.lng, x.slat, x.slng), 9), x.s) for x in rows)[1] for r in p.limit(30).collect()) and len(got) == 300
 
 
+def test_communities_of_one_place_count_together(spark):
+    from emberline.plans import consequences as P
+
+    every, p = P.communities(spark, "/root/testdata/sf0.01"), P.places(spark, "/root/testdata/sf0.01")
+    assert p.count() == every.select("lat", "lng").distinct().count() < every.count() == p.agg(F.sum("n")).first()[0]
+
+
+def test_points_of_an_ellipse_are_those_of_its_ring(spark):
+    x = spark.range(5).selectExpr("id", "id * 3.5D head", "1.0D + id lbr", "id * 77.0D bearing")
+    ring = G.ellipse_ring(F.lit(53.5), F.lit(-113.5), F.col("head"), F.col("lbr"), F.col("bearing"), F.lit(60.0))
+    whole = x.select("id", F.posexplode(ring).alias("i", "p")).select("id", "i", "p.lat", "p.lng")
+    points = G.ellipse_points(x, 53.5, -113.5, F.col("head"), F.col("lbr"), F.col("bearing"), 60.0).select("id", "i", "lat", "lng")
+    assert sorted(map(tuple, points.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_isochrones_skip_and_merge(spark):
     f = spark.createDataFrame([(1, i, i * 0.5) for i in range(5)], "sim long, idx int, t double").withColumn("perimeter", G.circle(F.lit(53.5), F.lit(-113.5), F.lit(100.0)))
     got = [(r.label, r.idx) for r in C.isochrones(spark, f, (0.5, 1.0, 2.0, 2.2, 4.0)).orderBy("target").collect()]
