@@ -98,8 +98,9 @@ def ellipse_rings(spark, sf_dir):
 
 
 def _ellipses(x):
-    ring = G.ellipse_ring(F.lit(53.5), F.lit(-113.5), F.col("dmc") / 10.0, G.length_to_breadth(F.col("wind")), F.col("dir"), F.lit(60.0))
-    return x.select("scen", F.posexplode(ring).alias("i", "p")).select("scen", "i", r(F.col("p.lat")).alias("lat"), r(F.col("p.lng")).alias("lng"))
+    x = x.select("scen", "dmc", "wind", "dir")
+    points = G.ellipse_points(x, 53.5, -113.5, F.col("dmc") / 10.0, G.length_to_breadth(F.col("wind")), F.col("dir"), 60.0)
+    return points.select("scen", "i", r(F.col("lat")).alias("lat"), r(F.col("lng")).alias("lng"))
 
 
 @query(S.query("v_scen", f"SELECT slope, count(*) AS n, round(any_value({S.slope_factor('slope')}), 6) AS factor FROM v_scen GROUP BY slope"))
