@@ -251,3 +251,14 @@ def test_fires_grown_together_are_as_alone(spark, monkeypatch):
         together = show(base)
     assert together == [r for k in range(4) for r in show(base.where(F.col("sim") == k))]
     assert max(r[3] for r in together) > 1 and {r[0]: r[2] for r in together} == {0: 0.4, 1: 1.0, 2: 0.25, 3: 0.5}
+
+
+def test_moves_of_a_cell_are_computed_once(spark, monkeypatch):
+    """Vertices of a fire in one cell share its moves, and a later step in that cell asks for none; before, every vertex asked in every step."""
+    asked, of = [], huygens._Wave.of
+    monkeypatch.setattr(huygens._Wave, "of", lambda self, fuel, at, grid: asked.append(len(at)) or of(self, fuel, at, grid))
+    fuels = [{"wave": [{"north_m": np.cos(t), "east_m": np.sin(t), "reach": 1.0} for t in np.radians(np.arange(36) * 10.0)], "terms": [{"weight": 1.0, "b": 0.1, "c": 1.0}], "ros_surface": 1.0, "ros_final": 1.0, "hfi": 100.0, "fire_type": "surface", "flame": 1.0}] * 18
+    fires = [{"sim": k, "own": "C2", "lat": 51.02, "lng": -113.98, "hours": 2.0, "snapshot": 1.0, "front": None, "wind": 10.0, "dir": 270.0, "isi": 5.0, "fuels": fuels} for k in range(3)]
+    grid = huygens._Grid(np.zeros((2, 2), np.int8), {"slope": np.full((2, 2), 30.0), "aspect": np.zeros((2, 2)), "ros_mult": np.ones((2, 2))}, (51.0, 51.04, -114.0, -113.96))
+    got = huygens._grown(fires, grid, 5.0, False)
+    assert sum(asked) <= 3 * 4 and max(r[4] for r in got) > 12
