@@ -262,3 +262,17 @@ def test_moves_of_a_cell_are_computed_once(spark, monkeypatch):
     grid = huygens._Grid(np.zeros((2, 2), np.int8), {"slope": np.full((2, 2), 30.0), "aspect": np.zeros((2, 2)), "ros_mult": np.ones((2, 2))}, (51.0, 51.04, -114.0, -113.96))
     got = huygens._grown(fires, grid, 5.0, False)
     assert sum(asked) <= 3 * 4 and max(r[4] for r in got) > 12
+
+
+def test_fires_that_come_from_a_join_stay_dealt(spark):
+    """Where a session has as many shuffle partitions as fires are dealt to, the partitioning after a join by sim counted for theirs, and adaptive execution put all fires into one task: all days of ``multiday`` but the first."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    ring = spark.range(3 * n).select(F.col("id").alias("sim"), G.circle(F.lit(51.0), F.lit(-114.0), F.lit(50.0), 12).alias("front"))
+    s = scenario(spark, hours=0.1).drop("sim").crossJoin(spark.range(3 * n).withColumnRenamed("id", "sim")).repartition(3, "fuel").join(ring.hint("shuffle_hash"), "sim")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        tasks = huygens.frames(s).groupBy(F.spark_partition_id()).agg(F.countDistinct("sim"))
+        assert tasks.count() > 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
