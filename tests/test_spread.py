@@ -264,6 +264,29 @@ def test_moves_of_a_cell_are_computed_once(spark, monkeypatch):
     assert sum(asked) <= 3 * 4 and max(r[4] for r in got) > 12
 
 
+def test_rays_inside_a_front_are_passed_over():
+    """Before hulls are made, most rays that point inwards go, and the hulls are those of all points: rings of unlike size and shape, with vertices that stay, wide steps, a line, and rings the other way round."""
+    rng = np.random.default_rng(8)
+    rings = []
+    for k in range(12):
+        turn = np.sort(rng.uniform(0, 2 * np.pi, int(rng.integers(3, 60))))[:: -1 if k == 9 else 1]
+        rings.append(np.stack([50 + 10.0 ** -(k % 4) * np.cos(turn), -110 + 0.3 * 10.0 ** -(k % 4) * np.sin(turn)], 1))
+    rings[11] = np.stack([50 + np.arange(9) / 100, -110 + np.arange(9) / 50], 1)
+    at, part = np.concatenate(rings), np.repeat(np.arange(12), [len(x) for x in rings])
+    lit = rng.random(len(at)) < 0.8
+    deg = np.arange(huygens.RAYS) * 2 * np.pi / huygens.RAYS
+    reach = rng.uniform(0, 0.02, (lit.sum(), 1)) * rng.uniform(0.5, 1, (lit.sum(), huygens.RAYS))
+    ends = at[lit][:, None] + np.stack([reach * np.cos(deg) + 0.002, reach * np.sin(deg)], 2) * (rng.random((lit.sum(), huygens.RAYS, 1)) < 0.9)
+    points = np.ascontiguousarray(np.concatenate([at[~lit], ends.reshape(-1, 2)]).T).T
+    sets, rays = np.concatenate([part[~lit], np.repeat(part[lit], huygens.RAYS)]), huygens._Rays(at, part, lit)
+    for mine, plain in zip(huygens._hulls(points, sets, 12, rays), huygens._hulls(points, sets, 12)):
+        assert np.array_equal(mine, plain)
+    mean = [np.bincount(sets, x) / np.bincount(sets) for x in points.T]
+    left = sets[huygens._outer([x - m[sets] for x, m in zip(points.T, mean)], sets, 12, [np.zeros(12)] * 2, rays)]
+    wide = np.isin(sets, (0, 4, 8))  # rings many steps across
+    assert np.isin(left, (0, 4, 8)).sum() < 0.5 * wide.sum()
+
+
 def test_fires_that_come_from_a_join_stay_dealt(spark):
     """Where a session has as many shuffle partitions as fires are dealt to, the partitioning after a join by sim counted for theirs, and adaptive execution put all fires into one task: all days of ``multiday`` but the first."""
     n = 2 * spark.sparkContext.defaultParallelism
